@@ -128,7 +128,7 @@ def words_of(buf: bytes, space: np.ndarray = SPACE, kinds: np.ndarray | None = N
     return np.concatenate(starts), np.concatenate(ends), np.concatenate(hashes)
 
 
-def batches(column, limit: int = SEGMENT) -> Iterator[tuple[int, int, bytes, np.ndarray]]:
+def batches(column, limit: int = SEGMENT, lower: bool = False) -> Iterator[tuple[int, int, bytes, np.ndarray]]:
     """Runs of rows of an Arrow text column: first row, end row, their bytes joined by line ends, each text's start.
 
     A run ends once it holds limit bytes, so memory follows the longest text and not the batch. Null texts are empty.
@@ -136,6 +136,8 @@ def batches(column, limit: int = SEGMENT) -> Iterator[tuple[int, int, bytes, np.
     rows, held, lo = [], 0, 0
     for i, x in enumerate(column):
         t = x.as_py()
+        if lower and t is not None:
+            t = t.lower()
         t = b"" if t is None else t.encode("utf-8", "surrogatepass") if isinstance(t, str) else t
         rows.append(t)
         held += len(t) + 1
@@ -160,3 +162,41 @@ def word_rows(buf: bytes, at: np.ndarray, space: np.ndarray = SPACE, kinds: np.n
 
 def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
+
+
+LETTERS_ONLY = np.ones(256, bool)
+LETTERS_ONLY[65:91] = LETTERS_ONLY[97:123] = False
+LETTERS_ONLY[128:] = False
+ALNUM_ONLY = LETTERS_ONLY.copy()
+ALNUM_ONLY[48:58] = False
+
+
+def appended(docs: DataFrame, made: str, fn, only: bool = False, lower: bool = False) -> DataFrame:
+    """docs with the columns made (a DDL string), which fn gives for each run of texts; no shuffle.
+
+    fn(buf, at) returns a list of columns, one value for each text of the run. With only, made is one boolean that says
+    which rows stay, and is not appended. Columns of docs that made names again are replaced.
+    """
+    from pyspark.sql.types import StructType
+
+    fields = StructType.fromDDL(made)
+    keep = docs.columns if only else [c for c in docs.columns if c not in fields.names]
+    text = docs.columns.index("text")
+    schema = docs.schema if only else StructType([docs.schema[c] for c in keep] + list(fields))
+    at_columns = [docs.columns.index(c) for c in keep]
+
+    def run(rows):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        types = [to_arrow_type(f.dataType) for f in fields]
+        for batch in rows:
+            for lo, hi, buf, at in batches(batch.column(text), lower=lower):
+                new = [pa.array(c, t) for c, t in zip(fn(buf, at), types)]
+                part = batch.slice(lo, hi - lo)
+                if only:
+                    yield part.filter(new[0])
+                else:
+                    yield pa.RecordBatch.from_arrays([part.column(i) for i in at_columns] + new, names=keep + fields.names)
+
+    return docs.mapInArrow(run, schema)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, mixing, quality, seekable, sharding, toxicity, url_filter
+from . import decontam, minhash, mixing, quality, seekable, sharding, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op2_seekable_ids": seekable.op2_seekable_ids,
         "op3_url_trees": url_filter.op3_url_trees,
         "op4_hilbert_sharding": sharding.op4_hilbert_sharding,
+        "op5_bottom_k": minhash.op5_bottom_k,
         "op6_quality_rules": quality.op6_quality_rules,
         "op7_string_tiling": decontam.op7_string_tiling,
         "op9_toxic_segments": toxicity.op9_toxic_segments,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, minhash, mixing, quality, seekable, sharding, toxicity, url_filter
+from . import decontam, lm, minhash, mixing, quality, seekable, sharding, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op5_bottom_k": minhash.op5_bottom_k,
         "op6_quality_rules": quality.op6_quality_rules,
         "op7_string_tiling": decontam.op7_string_tiling,
+        "op8_hashed_maxent": lm.op8_hashed_maxent,
         "op9_toxic_segments": toxicity.op9_toxic_segments,
         "op10_mix_sources": mixing.op10_mix_sources,
     }

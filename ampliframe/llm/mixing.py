@@ -1,6 +1,6 @@
 """Operator 10, mixing sources to target weights by hash-threshold histograms; native.
 
-Every document has a 64-bit hash of its id. Words are summed by source and hash bucket; the bucket in which the running
+Every document has a 48-bit hash of its id, the first digits of its MD5. Words are summed by source and hash bucket; the bucket in which the running
 sum passes the source's budget is the boundary. Only rows in boundary buckets are summed again by the next bits, LEVELS
 times. A document is taken if its hash lies below its source's threshold, which is a filter: nothing is sorted.
 Thresholds of larger budgets lie above those of smaller ones, so mixes are nested.
@@ -43,18 +43,19 @@ def targets(sizes: DataFrame) -> DataFrame:
     })
     level = (F.col("_all") - F.col("_capped")) / (F.col("_weights") - F.col("_gone"))
     r = r.withColumn("_level", level).withColumn("_over", F.col("_cap") / F.col("_w") < F.col("_level"))
-    stop = F.min(F.when(~F.col("_over"), F.col("_level"))).over(every)
+    # the level rises with each source that is rightly capped and falls after
+    stop = F.max(F.when(~F.col("_over"), F.col("_level"))).over(every)
     r = r.withColumn("_stop", stop)
     return r.select("source", "source_size", F.when(F.col("_over"), F.col("_cap")).otherwise(F.least(F.col("_cap"), F.col("_stop") * F.col("_w"))).alias("target"))
 
 
 def _digit(level: int) -> Column:
-    return F.shiftrightunsigned("_hash", 64 - BITS * (level + 1)).bitwiseAND((1 << BITS) - 1)
+    return F.shiftrightunsigned("_hash", BITS * (LEVELS - level - 1)).bitwiseAND((1 << BITS) - 1)
 
 
 def _prefix(level: int) -> Column:
     """The first level digits of the hash, as a number."""
-    return F.shiftrightunsigned("_hash", 64 - BITS * level) if level else F.lit(0).cast("long")
+    return F.shiftrightunsigned("_hash", BITS * (LEVELS - level)) if level else F.lit(0).cast("long")
 
 
 def mix(spark: SparkSession, docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
@@ -66,7 +67,7 @@ def mix(spark: SparkSession, docs: DataFrame, keep: list[str] | None = None) ->
         *keep,
         F.col("source").alias("_source"),
         common.n_words().alias("size"),
-        F.when(F.col("doc_id").isNull(), F.xxhash64(F.lit("text"), "text")).otherwise(F.xxhash64(F.lit("id"), "doc_id")).alias("_hash"),
+        F.conv(F.substring(F.md5(F.coalesce(F.concat(F.lit("id"), F.col("doc_id").cast("string")), "text", F.lit(""))), 1, 12), 16, 10).cast("long").alias("_hash"),
     )
     if "text" in keep:  # counting words again costs less than a copy of the texts
         narrow = scratch.keep(sized.select("_source", "size", "_hash"), "sized")
@@ -110,3 +111,30 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
     mixed = mix(spark, docs)
     return mixed.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_copies")))).select(*docs.columns)
+
+
+#: The same by sorting: whole budgets by running sums in order of the hash, the boundary to the nearer side.
+OP10_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, text, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, ('0x' || substr(md5(coalesce('id' || doc_id, text, '')), 1, 12))::BIGINT AS h FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, CASE (row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w FROM d GROUP BY source
+), r AS (
+  SELECT 0 AS step, 1.5::DOUBLE * sum(source_size) / sum(w) AS level FROM s
+  UNION ALL
+  SELECT step + 1, (SELECT (1.5::DOUBLE * sum(source_size) - coalesce(sum(2.0::DOUBLE * source_size) FILTER (2.0::DOUBLE * source_size < w * level), 0)) / nullif(sum(w) FILTER (2.0::DOUBLE * source_size >= w * level), 0) FROM s)
+  FROM r WHERE step < 40 AND level IS NOT NULL
+), t AS (
+  SELECT source, source_size, least(2.0::DOUBLE * source_size, w * coalesce((SELECT max(level) FROM r), 1e300)) AS target FROM s
+), b AS (
+  SELECT *, CASE WHEN target > source_size THEN target - source_size ELSE target END AS budget FROM t
+), g AS (
+  SELECT source, h, sum(size) AS n FROM d GROUP BY ALL
+), c AS (
+  SELECT source, h, n, sum(n) OVER (PARTITION BY source ORDER BY h) AS upto FROM g
+), k AS (
+  SELECT c.source, c.h, upto <= budget OR (upto - n <= budget AND upto - budget < budget - (upto - n)) AS below FROM c JOIN b ON c.source IS NOT DISTINCT FROM b.source
+)
+SELECT d.doc_id, d.size::BIGINT AS size, b.source_size, b.target, (d.size * (CASE WHEN target > source_size THEN 1 ELSE 0 END + CASE WHEN k.below THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source JOIN k ON d.source IS NOT DISTINCT FROM k.source AND d.h = k.h
+"""

@@ -90,3 +90,31 @@ def judge(docs: DataFrame, rules=RULES) -> DataFrame:
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = judge(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *(m for m, _, _ in RULES))
+
+
+OP6_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents
+), w AS (
+  SELECT r, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d
+), g AS (
+  SELECT r, i, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5)
+), x AS (
+  SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM g
+), p AS (
+  SELECT r, count(DISTINCT i + k) AS n FROM x, (SELECT unnest(range(0, 5)) AS k) WHERE x.n > 1 GROUP BY r
+), m AS (
+  SELECT doc_id, len(w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+    len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(p.n, 0) AS n_repeat_words, len(l) AS lines,
+    len(list_filter(w, lambda x: lower(x) IN (STOPS))) AS stops, len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) AS same
+  FROM w LEFT JOIN p USING (r)
+), q AS (
+  SELECT *, CASE WHEN n_words > 0 THEN word_chars / n_words ELSE 0.0 END AS mean_word_length, CASE WHEN word_chars > 0 THEN n_symbols / word_chars ELSE 0.0 END AS symbol_ratio,
+    CASE WHEN n_words > 0 THEN same / n_words ELSE 0.0 END AS same_word_ratio, CASE WHEN n_words > 0 THEN (stops + 1) / n_words ELSE 0.0 END AS stop_word_ratio,
+    CASE WHEN lines > 0 THEN n_dup_lines / lines ELSE 0.0 END AS dup_line_ratio, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed
+  FROM m
+)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed, NOT base_failed AND RULES AS kept,
+  mean_word_length::DOUBLE AS mean_word_length, symbol_ratio::DOUBLE AS symbol_ratio, same_word_ratio::DOUBLE AS same_word_ratio, stop_word_ratio::DOUBLE AS stop_word_ratio, dup_line_ratio::DOUBLE AS dup_line_ratio
+FROM q
+""".replace("STOPS", ", ".join(f"'{w}'" for w in STOP_WORDS)).replace("RULES", " AND ".join([f"{m} >= {a}" for m, a, _ in RULES if a is not None] + [f"{m} <= {b}" for m, _, b in RULES if b is not None]))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontam, lm, minhash, mixing, quality, seekable, sharding, toxicity, url_filter
+from . import decontam, line_dedup, lm, minhash, mixing, quality, seekable, sharding, toxicity, url_filter
 
 
 def queries() -> dict:
     return {
+        "op1_deletion_neighbourhood": line_dedup.op1_deletion_neighbourhood,
         "op2_seekable_ids": seekable.op2_seekable_ids,
         "op3_url_trees": url_filter.op3_url_trees,
         "op4_hilbert_sharding": sharding.op4_hilbert_sharding,
@@ -20,4 +21,9 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_deletion_neighbourhood": line_dedup.OP1_SQL,
+        "op5_bottom_k": minhash.OP5_SQL,
+        "op6_quality_rules": quality.OP6_SQL,
+        "op10_mix_sources": mixing.OP10_SQL,
+    }

@@ -108,22 +108,26 @@ def tm_of(s: str, c: Config = Config()) -> float:
     return 1000 * h / (e + GAS * math.log(c.dna_conc * 1e-9 / (1 if own else 4))) - 273.15
 
 
-#: Weights of a pair and of a mismatch in the dimer score, chosen so that known dimers lie under -26 and known clean pairs above.
-PAIR_GC, PAIR_AT, MISMATCH = -4.0, -2.6, 1.9
+#: Weights of a pair and of a mismatch in the dimer score. With these the known dimers lie under -26, the known clean pair
+#: and the pools of a published scheme above.
+PAIR_GC, PAIR_AT, MISMATCH = -4.0, -2.4, 4.0
 
 
 def dimer_scores(a: str, b: str) -> np.ndarray:
-    """Scores of all ungapped offsets of a against b reversed: pairs lower them, mismatches raise them; the ends' overlap
-    that holds a 3' end counts, from its best inner stretch."""
+    """Scores of all ungapped offsets of a against b reversed: pairs lower them and mismatches raise them. Only stretches
+    that start at a 3' end inside the overlap count, as only these are extended."""
     x, y = codes(a), codes(b)[::-1]
     out = []
     for off in range(-(len(x) - 2), len(y) - 1):
         lo, hi = max(0, -off), min(len(x), len(y) - off)
         p, q = x[lo:hi], y[lo + off : hi + off]
-        paired = (p + q == 3) & (p < 4)
-        value = np.where(paired, np.where((p == 1) | (p == 2), PAIR_GC, PAIR_AT), MISMATCH)
-        run = np.cumsum(value)
-        out.append((run - np.maximum.accumulate(np.concatenate([[0.0], run[:-1]]))).min() if len(run) else 0.0)
+        value = np.where((p + q == 3) & (p < 4), np.where((p == 1) | (p == 2), PAIR_GC, PAIR_AT), MISMATCH)
+        best = 0.0
+        if hi == len(x):  # a's 3' end
+            best = min(best, value[::-1].cumsum().min())
+        if lo + off == 0:  # b's 3' end
+            best = min(best, value.cumsum().min())
+        out.append(best)
     return np.array(out) if out else np.zeros(1)
 
 

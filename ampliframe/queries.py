@@ -12,8 +12,10 @@ from .config import Config
 from .functions import score, thermo
 from .functions import seq as S
 from .operators import alignment as A
+from .operators import digest, mismatch
 from .operators import intervals as I
 from .operators import kmers as K
+from .plans import maintain, solver
 
 C = Config()
 AMPLICON = Config(amplicon_size=400)
@@ -395,7 +397,7 @@ def region_score_prefix(spark, sf_dir):
 _RSPANS = SPANS.replace("ascii(event_type) AS msa", "ascii(substr('fop', (event_id % 3)::INTEGER + 1, 1)) AS msa")
 
 
-@query(f"WITH {REGIONS}, {_RSPANS} SELECT reg_.msa, reg_.start, reg_.stop, score, round(coalesce(sum(greatest(least(reg_.stop, m.stop) - greatest(reg_.start, m.start), 0)), 0)::DOUBLE / (reg_.stop - reg_.start), 2) AS mean_coverage FROM reg_ LEFT JOIN merged_ m ON m.msa = reg_.msa AND m.start < reg_.stop AND reg_.start < m.stop GROUP BY reg_.msa, reg_.start, reg_.stop, score")
+@query(f"WITH {REGIONS}, {_RSPANS} SELECT reg_.msa, reg_.start, reg_.stop, score, round(coalesce(sum(CASE WHEN m.start IS NULL THEN 0 ELSE greatest(least(reg_.stop, m.stop) - greatest(reg_.start, m.start), 0) END), 0)::DOUBLE / (reg_.stop - reg_.start), 2) AS mean_coverage FROM reg_ LEFT JOIN merged_ m ON m.msa = reg_.msa AND m.start < reg_.stop AND reg_.start < m.stop GROUP BY reg_.msa, reg_.start, reg_.stop, score")
 def region_mean_coverage(spark, sf_dir):
     e = _read(spark, sf_dir, "events").select(F.ascii(F.substring(F.lit("fop"), (F.pmod("event_id", F.lit(3)) + 1).cast("int"), F.lit(1))).alias("msa"), (F.col("event_id") * 7).alias("start"), (F.col("event_id") * 7 + 5 + F.pmod("user_id", F.lit(40))).alias("stop"))
     return I.region_coverage(_regions(spark, sf_dir), e)
@@ -406,6 +408,58 @@ def reduce_points(spark, sf_dir):
     return A.reduced(_read(spark, sf_dir, "events").select(F.col("event_type").alias("chrom"), F.col("event_id").alias("col"), (F.round(F.col("value") / 10) / 3).alias("value")))
 
 
+PRIMER = f"primer_ AS (SELECT n_nationkey AS primer, n_nationkey * 3 AS at_, regexp_replace({bridge.sequence_sql('n_name || n_name')}, '[^ACGT]', '', 'g') AS pseq FROM nation)"
+_CODE16 = "(CASE substr(reverse(%s), i, 1) WHEN 'A' THEN 1 WHEN 'C' THEN 2 WHEN 'G' THEN 4 WHEN 'T' THEN 8 WHEN 'R' THEN 5 WHEN 'Y' THEN 10 END)"
+
+
+def _primers(spark, sf_dir):
+    return _read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("primer"), (F.col("n_nationkey") * 3).alias("at"), F.regexp_replace(bridge.sequence(F.concat("n_name", "n_name")), "[^ACGT]", "").alias("seq"))
+
+
+@query(f"""WITH rows_ AS ({bridge.ROWS}), {PRIMER}, t AS (SELECT chrom, row, primer, pseq, replace(substr(seq, at_ + 1, length(pseq)), '-', '') AS tmpl FROM rows_, primer_)
+SELECT chrom, row, primer, len(list_filter(range(1, least(length(pseq), length(tmpl)) + 1), lambda i: coalesce({_CODE16 % 'pseq'} & {_CODE16 % 'tmpl'} = 0, false)))::INTEGER AS mismatches FROM t""")
+def mismatch_matrix(spark, sf_dir):
+    return mismatch.matrix(bridge.rows(spark, sf_dir), _primers(spark, sf_dir))
+
+
+# non-relational: models and solvers; tests hold them against goldens and brute force
+
+@query()
+def dimer_pairs(spark, sf_dir):
+    p = _parts(spark, sf_dir).select(F.pmod("id", F.lit(64)).alias("pool"), F.col("plain").alias("seq"))
+    return mismatch.interactions(p, C.dimer_score)
+
+
+def _candidates(spark, sf_dir):
+    pairs = primer_pairs_range(spark, sf_dir)
+    return pairs.select(F.char("msa").alias("msa"), F.col("f_start").cast("int"), F.col("f_end").cast("int"), F.col("r_start").cast("int"), (F.col("r_start") + F.col("r_size")).cast("int").alias("r_end"), F.array().cast("array<string>").alias("seqs"))
+
+
+@query()
+def greedy_scheme(spark, sf_dir):
+    return solver.solve(_candidates(spark, sf_dir), AMPLICON)
+
+
+@query()
+def greedy_panel(spark, sf_dir):
+    wanted = I.region_scores(_regions(spark, sf_dir)).select(F.upper(F.char("msa")).alias("msa"), "start", "stop", "score")
+    return solver.solve_panel(_candidates(spark, sf_dir).withColumn("gc_diff", F.lit(0.0)), wanted, AMPLICON, most=20)
+
+
+@query()
+def downsample_clouds(spark, sf_dir):
+    p = _parts(spark, sf_dir).select(F.pmod("id", F.lit(16)).cast("string").alias("site"), F.substring("plain", 1, 24).alias("seq")).groupBy("site", "seq").agg(F.count("*").alias("count"))
+    return maintain.downsampled(p, C)
+
+
+@query()
+def digest_candidates(spark, sf_dir):
+    rows = _read(spark, sf_dir, "nation").select(F.col("n_regionkey").cast("string").alias("msa"), F.col("n_nationkey").alias("row"), F.regexp_replace(bridge.sequence(F.repeat(F.concat("n_name", F.lit("quick_brown_fox_jumps")), 6)), "N", "A").alias("seq"))
+    width = rows.groupBy("msa").agg(F.max(F.length("seq")).alias("_w"))
+    padded = rows.join(width, "msa").withColumn("tail", F.col("_w") - F.length("seq")).withColumn("lead", F.lit(0)).withColumn("seq", F.expr("rpad(seq, _w, '-')")).drop("_w")
+    return digest.digest(padded, C.with_(min_base_freq=0.05))
+
+
 def queries() -> dict:
     return dict(_registered)
 

@@ -23,6 +23,7 @@ WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 2.0
 BITS = 12
 LEVELS = 4
+SOURCES = 100_000
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -97,6 +98,8 @@ def mix(spark: SparkSession, docs: DataFrame, keep: list[str] | None = None) ->
         edge = scratch.keep(edge, f"edge{level}")
     found = goals.join(edge.select("_s", F.col("_at").alias("_threshold")), F.col("source").eqNullSafe(F.col("_s")), "left")
     found = found.select(F.col("source").alias("_s"), "source_size", "target", F.coalesce("_threshold", F.lit(0)).alias("_threshold"))
+    if goals.count() <= SOURCES:  # few sources: then documents need no shuffle, which would bring a hot one to few tasks
+        found = F.broadcast(found)
     below = _prefix(LEVELS) < F.col("_threshold")
     copies = F.when(F.col("target") > F.col("source_size"), F.when(below, 2).otherwise(1)).otherwise(F.when(below, 1).otherwise(0))
     out = sized.join(found, F.col("_source").eqNullSafe(F.col("_s")))

@@ -90,13 +90,14 @@ def shard(spark: SparkSession, docs: DataFrame, shards: int = SHARDS, keep: list
     before, total = {}, 0
     for part, n in sorted(placed.groupBy("_slice").count().collect()):  # one row for each partition, not for each row
         before[part], total = total, total + n
+    # a row for each partition, so that sending it to all tasks is bounded
     starts = spark.createDataFrame(list(before.items()) or [(0, 0)], "_slice int, _before long")
     small, extra = divmod(total, shards)
     rank = F.col("_before") + F.col("_row")
     head = F.lit(extra * (small + 1))
     part = F.when(rank < head, F.floor(rank / (small + 1))).otherwise(extra + F.floor((rank - head) / max(small, 1)))
     slot = F.when(rank < head, rank % (small + 1)).otherwise((rank - head) % max(small, 1))
-    return placed.join(starts, "_slice").select(*keep, "size", "text_crc32", F.lit("rows").alias("law"), part.cast("int").alias("shard"), slot.cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    return placed.join(F.broadcast(starts), "_slice").select(*keep, "size", "text_crc32", F.lit("rows").alias("law"), part.cast("int").alias("shard"), slot.cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:

@@ -449,7 +449,8 @@ def greedy_panel(spark, sf_dir):
 @query()
 def downsample_clouds(spark, sf_dir):
     p = _parts(spark, sf_dir).select(F.pmod("id", F.lit(16)).cast("string").alias("site"), F.substring("plain", 1, 24).alias("seq")).groupBy("site", "seq").agg(F.count("*").alias("count"))
-    return maintain.downsampled(p, C)
+    # part names make poor primers: a protocol with wide limits
+    return maintain.downsampled(p, C.with_(primer_tm_min=35.0, primer_tm_max=80.0, primer_gc_min=10, primer_gc_max=90, primer_homopolymer_max=12, downsample_target=0.1, primer_annealing_tempc=50.0))
 
 
 @query()

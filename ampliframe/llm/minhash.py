@@ -7,9 +7,11 @@ their prefixes are candidates; the union's sketch estimates their Jaccard index,
 
 No list is expanded into its pairs. First each list pairs its members with PIVOTS members alone, which links the copies of
 a hot group to each other through a few; then only pairs of a list whose members are still in different components are
-tried, which in lists of true copies are few and in lists of chance meetings are cut by sizes and prefixes. Two sets with
-a Jaccard index of LEAST share a value among the PREFIX rarest of their union with a chance of 1 - (1 - LEAST) ** PREFIX,
-that is all but 1 in 10 ** 11, and SHARED of them, or the estimate, fail less than once in 10 ** 6.
+tried, which in lists of true copies are few and in lists of chance meetings are cut by sizes and prefixes. The values that
+only one of two sets has are the rarest, so they come first in its prefix. At worst one set lies in the other and has LEAST
+per cent of its size: then a fifth of the larger set's SKETCH values lack a partner, and prefixes overlap in less than
+SHARED values only if more than PREFIX - SHARED of them do, which happens once in 10 ** 6 (binomial tail). The estimate
+fails less often.
 
 Full sets are made anew from the texts of those documents that need them, chosen by a bit table of fixed size, so that
 texts are never shuffled.
@@ -29,7 +31,7 @@ from . import common
 from .decontam import rolling, runs_within
 
 SKETCH = 64
-PREFIX = 16
+PREFIX = 32
 SHARED = 3
 PIVOTS = 2
 LEAST = 80
@@ -125,10 +127,10 @@ def postings(spark: SparkSession, classes: DataFrame) -> DataFrame:
             order = order[place < PREFIX]
             owner, v = owner[order], flat[order]
             ends = np.searchsorted(owner, np.arange(len(reps) + 1)).astype(np.int32)
-            prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array((v >> 32).astype(np.int32)))
+            prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array((v >> 48).astype(np.int16)))  # 16 bits do for a filter
             yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(reps[owner]), pa.array(sizes[owner]), prefix.take(pa.array(owner))], ["v", "rep", "n", "prefix"])
 
-    return classes.select("rep", "n", "sketch").mapInArrow(run, "v long, rep long, n long, prefix array<int>")
+    return classes.select("rep", "n", "sketch").mapInArrow(run, "v long, rep long, n long, prefix array<smallint>")
 
 
 def _may_link(n: str, m: str, p: str, q: str) -> Column:

@@ -201,6 +201,16 @@ def test_near_duplicates(spark, docs, n, monkeypatch):
         assert r.component_id == (want[r.doc_id] if r.doc_id is not None else None) and r.kept == (r.doc_id is None or r.component_id == r.doc_id)
 
 
+def test_near_duplicates_at_the_threshold(spark):
+    """Texts cut to just over four fifths: what only the longer one has is as rare as can be."""
+    rng, rows = random.Random(5), []
+    for i in range(120):
+        w = ["".join(rng.choice("abcdefghijklmnop") for _ in range(9)) for _ in range(501)]
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(w[: rng.randint(401, 406)]))]
+    got = {r.doc_id: r.component_id for r in minhash.link(spark, spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()}
+    assert got == {i: i - i % 2 for i in range(240)}
+
+
 def test_near_duplicates_of_nothing(spark, empty):
     assert minhash.link(spark, empty, 2).count() == 0
 

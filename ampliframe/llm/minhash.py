@@ -2,16 +2,17 @@
 
 A document's set is that of its N-word shingles. Equal sets form one class. Of each class's set the SKETCH smallest hash
 values are retained. Retained values in the order of how rarely they are retained (by a hashed count table of fixed size)
-give each class its PREFIX rarest, and these go into inverted lists. Classes that meet in a list and overlap in SHARED of
-their prefixes are candidates; the union's sketch estimates their Jaccard index, and the full sets confirm it.
+give each class its PREFIX rarest, and these go into inverted lists. Classes that meet in a list, with sizes and marks
+that allow it, are candidates; the union's sketch estimates their Jaccard index, and the full sets confirm it. A class's
+mark has a bit of 128 for each of its MARKED smallest values, so that lists needn't carry sketches.
 
 No list is expanded into its pairs. First each list pairs its members with PIVOTS members alone, which links the copies of
 a hot group to each other through a few; then only pairs of a list whose members are still in different components are
-tried, which in lists of true copies are few and in lists of chance meetings are cut by sizes and prefixes. The values that
+tried, which in lists of true copies are few and in lists of chance meetings are cut by sizes and marks. The values that
 only one of two sets has are the rarest, so they come first in its prefix. At worst one set lies in the other and has LEAST
-per cent of its size: then a fifth of the larger set's SKETCH values lack a partner, and prefixes overlap in less than
-SHARED values only if more than PREFIX - SHARED of them do, which happens once in 10 ** 6 (binomial tail). The estimate
-fails less often.
+per cent of its size: then a fifth of the larger set's SKETCH values lack a partner, and prefixes overlap in none only if
+PREFIX of them do, and marks in less than COMMON bits only if 20 of MARKED values do: once in 10 ** 6 at most (binomial
+tails). The estimate fails less often.
 
 Full sets are made anew from the texts of those documents that need them, chosen by a bit table of fixed size, so that
 texts are never shuffled.
@@ -32,7 +33,8 @@ from .decontam import rolling, runs_within
 
 SKETCH = 64
 PREFIX = 32
-SHARED = 3
+MARKED = 32
+COMMON = 12
 PIVOTS = 2
 LEAST = 80
 ESTIMATE = 50
@@ -41,6 +43,8 @@ BITS = 1 << 23
 SHORT = 64
 BLOCK = 512
 QUERIES = 2048
+FACTS = ["n", "m0", "m1"]
+FACTS2 = ["n2", "m02", "m12"]
 
 
 def sets_of(buf: bytes, at: np.ndarray, n: int) -> list[np.ndarray]:
@@ -107,7 +111,7 @@ def full_sets(spark: SparkSession, docs: DataFrame, ids: DataFrame, n: int) -> D
 
 
 def postings(spark: SparkSession, classes: DataFrame) -> DataFrame:
-    """v, rep, n_shingles, prefix: a row for each of a class's PREFIX rarest retained values."""
+    """v, rep, n, m0, m1 (the mark): a row for each of a class's PREFIX rarest retained values."""
     values = classes.select(F.explode("sketch").alias("v"))
     found = values.groupBy(F.col("v").bitwiseAND(BUCKETS - 1).cast("int").alias("bucket")).count().collect()  # BUCKETS rows at most
     counts = np.zeros(BUCKETS, np.int64)
@@ -126,18 +130,26 @@ def postings(spark: SparkSession, classes: DataFrame) -> DataFrame:
             place = np.arange(len(flat)) - cut[owner]
             order = order[place < PREFIX]
             owner, v = owner[order], flat[order]
-            ends = np.searchsorted(owner, np.arange(len(reps) + 1)).astype(np.int32)
-            prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array((v >> 48).astype(np.int16)))  # 16 bits do for a filter
-            yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(reps[owner]), pa.array(sizes[owner]), prefix.take(pa.array(owner))], ["v", "rep", "n", "prefix"])
-
-    return classes.select("rep", "n", "sketch").mapInArrow(run, "v long, rep long, n long, prefix array<smallint>")
-
-
-def _may_link(n: str, m: str, p: str, q: str) -> Column:
-    """Sizes allow the link, and prefixes that are full overlap in SHARED values."""
+            # sketches are ascending, so that their high bits say little: bits of the middle of the first MARKED of each
+            at, bit = np.flatnonzero(place < MARKED), (flat.view(np.uint64) >> np.uint64(24)) & np.uint64(127)
+            whose = np.repeat(np.arange(len(reps)), np.diff(cut))[at]
+            marks = []
+            for half in (0, 1):
+                mark = np.zeros(len(reps), np.uint64)
+                on = (bit[at] >> np.uint64(6)) == half
+                np.bitwise_or.at(mark, whose[on], np.uint64(1) << (bit[at][on] & np.uint64(63)))
+                marks.append(pa.array(common.signed(mark[owner])))
+            yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(reps[owner]), pa.array(sizes[owner]), *marks], ["v", "rep", "n", "m0", "m1"])
+
+    return classes.select("rep", "n", "sketch").mapInArrow(run, "v long, rep long, n long, m0 long, m1 long")
+
+
+def _may_link(one: list[str], two: list[str]) -> Column:
+    """Sizes and marks (n, m0, m1) allow the link; sets of less than MARKED values have no say by their marks."""
+    n, m = one[0], two[0]
     sizes = 100 * F.least(n, m) >= LEAST * F.greatest(n, m)
-    few = F.least(F.size(p), F.size(q)) < PREFIX
-    return sizes & (few | (F.size(F.array_intersect(p, q)) >= SHARED))
+    both = sum((F.bit_count(F.col(a).bitwiseAND(F.col(b))) for a, b in zip(one[1:], two[1:])), F.lit(0))
+    return sizes & ((F.least(n, m) < MARKED) | (both >= COMMON))
 
 
 def likely(classes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -245,11 +257,11 @@ def link(spark: SparkSession, docs: DataFrame, n: int = 5, report: dict | None =
 
     # 1: each list's members with PIVOTS of them: the smallest, and those of smallest hash
     order = [F.col("rep"), *(F.xxhash64("rep", F.lit(k)) for k in range(1, PIVOTS))]
-    me = F.struct("rep", "n", "prefix")
+    me = F.struct("rep", *FACTS)
     picked = active.groupBy("v").agg(*(F.min_by(me, o).alias(f"p{k}") for k, o in enumerate(order)))
     pivots = picked.select("v", F.explode(F.array_distinct(F.array(*(f"p{k}" for k in range(PIVOTS))))).alias("p"))
-    pivots = pivots.select("v", F.col("p.rep").alias("rep2"), F.col("p.n").alias("n2"), F.col("p.prefix").alias("prefix2"))
-    star = active.join(pivots, "v").where((F.col("rep") != F.col("rep2")) & _may_link("n", "n2", "prefix", "prefix2"))
+    pivots = pivots.select("v", F.col("p.rep").alias("rep2"), *(F.col(f"p.{c}").alias(f"{c}2") for c in FACTS))
+    star = active.join(pivots, "v").where((F.col("rep") != F.col("rep2")) & _may_link(FACTS, FACTS2))
     pair = [F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")]
     star = scratch.keep(likely(classes, star.select(*pair).distinct()), "star")
     sets = scratch.keep(full_sets(spark, docs, star.select("a").union(star.select("b")), n), "star-sets")
@@ -264,8 +276,8 @@ def link(spark: SparkSession, docs: DataFrame, n: int = 5, report: dict | None =
     placed = scratch.keep(placed.join(split, "v"), "placed")
     # short lists: each member's pairs are at most SHORT
     short = placed.where(F.col("all") <= SHORT)
-    other = short.select("v", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("prefix").alias("prefix2"), F.col("root").alias("root2"))
-    rest = short.join(other, "v").where((F.col("root") < F.col("root2")) & _may_link("n", "n2", "prefix", "prefix2"))
+    other = short.select("v", F.col("rep").alias("rep2"), *(F.col(c).alias(f"{c}2") for c in FACTS), F.col("root").alias("root2"))
+    rest = short.join(other, "v").where((F.col("root") < F.col("root2")) & _may_link(FACTS, FACTS2))
     rest = scratch.keep(likely(classes, rest.select(*pair).distinct().join(star, ["a", "b"], "left_anti")), "rest")
     # long lists: members and those of other components meet in blocks
     groups = scratch.keep(placed.where(F.col("all") > SHORT).select("g", "rep", "root").distinct(), "groups")

@@ -108,7 +108,7 @@ def run(spark: SparkSession, given: list[str]) -> None:
     elif a.command == "visualise-primer-mismatches":
         rows = design.alignments(spark, [a.msa])
         at = design.mapped(rows, settings).select(F.col("ref_pos").alias("start"), F.col("col").alias("at"), "chrom")
-        lines = bed.read_primers(spark, a.bedfile).join(at, ["chrom", "start"])
+        lines = bed.read_primers(spark, a.bedfile).drop("at").join(at, ["chrom", "start"])
         stem = F.concat_ws("_", "prefix", F.col("number").cast("string"), "side")
         primers = lines.select(stem.alias("primer"), "at", F.when(F.col("side") == "LEFT", F.col("sequence")).otherwise(S.reverse_complement(F.col("sequence"))).alias("seq"))
         found = mismatch.matrix(rows.select(F.col("msa").alias("chrom"), "row", "seq"), primers)

@@ -1,11 +1,14 @@
 """Operator 9, toxicity by maximum-scoring segments.
 
-Tokens are runs of letters. From labelled documents each token gets the log-odds of toxic against clean text under a
-Dirichlet prior whose pseudo-counts follow the pooled frequencies; tokens whose log-odds stand Z standard errors from 0
-score these, all others a small cost. In a text, the linear-time scan of Ruzzo and Tompa finds all maximal segments.
-Segment scores of random text have an extreme-value law: with lambda from the clean token frequencies and K counted on
-clean documents, a segment of score S in n tokens has E = K n exp(-lambda S). A document's evidence is the sum over its
-segments of -ln(1 - exp(-E)), and a logistic curve fitted on the labelled documents turns it into a score.
+Tokens are runs of letters. From labelled documents each token gets the log-odds of toxic against clean text, shrunk by one
+pseudo-token dealt by the two kinds' sizes. Tokens score these if a G-test of their documents (how many toxic and how many
+clean ones have the token) reaches Z squared, the evidence of Z standard errors; all others cost a little. The test needs no
+clean document with the token, and a token often repeated in one document counts once.
+
+In a text, the linear-time scan of Ruzzo and Tompa finds all maximal segments. Segment scores of random text have an
+extreme-value law: with lambda from the clean token frequencies and K counted on clean documents, a segment of score S in n
+tokens has E = K n exp(-lambda S). A document's evidence is the sum over its segments of -ln(1 - exp(-E)), and a logistic
+curve fitted on the labelled documents turns it into a score.
 
 TRAIN_ROWS bounds the labelled rows that are used (those of smallest hash of doc_id) and LEXICON the tokens that score.
 
@@ -19,18 +22,18 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
 TRAIN_ROWS = 20_000
 LEXICON = 50_000
-PRIOR = 2_000.0
 Z = 4.0
 COST = 0.02
 LIMIT = 0.7
 MOST = 40.0
+SUMS = ("bad", "good", "bad_docs", "good_docs")
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -109,18 +112,23 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, train_rows: int
                 mark = np.repeat(toxic[lo:hi], np.diff(cut))
                 bad = np.bincount(which, mark, len(keys)).astype(np.int64)
                 every = np.bincount(which, minlength=len(keys))
-                yield pa.RecordBatch.from_arrays([pa.array(common.signed(keys)), pa.array(bad), pa.array(every - bad)], ["key", "bad", "good"])
-
-    counts = scratch.keep(train.mapInArrow(count, "key long, bad long, good long").groupBy("key").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")), "counts")
+                text = np.repeat(np.arange(hi - lo), np.diff(cut))
+                once = np.unique(which * (hi - lo) + text)  # each token once a text
+                bad_docs = np.bincount(once // (hi - lo), toxic[lo:hi][once % (hi - lo)], len(keys)).astype(np.int64)
+                all_docs = np.bincount(once // (hi - lo), minlength=len(keys))
+                yield pa.RecordBatch.from_arrays([pa.array(common.signed(keys)), *map(pa.array, (bad, every - bad, bad_docs, all_docs - bad_docs))], ["key", *SUMS])
+
+    kind = ", ".join(["key long", *(f"{x} long" for x in SUMS)])
+    counts = scratch.keep(train.mapInArrow(count, kind).groupBy("key").agg(*(F.sum(x).alias(x) for x in SUMS)), "counts")
     bad, good = counts.agg(F.coalesce(F.sum("bad"), F.lit(0)), F.coalesce(F.sum("good"), F.lit(0))).first()
     if not bad or not good:
         share = train.agg(F.avg("toxic")).first()[0]
         share = 0.5 if share is None else min(max(share, 0.01), 0.99)
         return Model(np.zeros(0, np.uint64), np.zeros(0), curve=(math.log(share / (1 - share)), 0.0))
-    prior = PRIOR * (F.col("bad") + F.col("good")) / F.lit(bad + good)
-    odds = lambda y, n: F.log((F.col(y) + prior) / (n + PRIOR - F.col(y) - prior))
-    found = counts.withColumn("value", odds("bad", bad) - odds("good", good)).withColumn("z", F.col("value") / F.sqrt(1 / (F.col("bad") + prior) + 1 / (F.col("good") + prior)))
-    found = found.where(F.abs("z") >= Z).orderBy(F.abs("z").desc(), "key").limit(LEXICON).select("key", "value", "good").collect()
+    q = bad / (bad + good)  # one pseudo-token of either kind's share: a token of no evidence has value 0
+    toxic_docs, clean_docs = train.agg(F.count_if(F.col("toxic") > 0), F.count_if(F.col("toxic") <= 0)).first()
+    found = counts.withColumn("value", F.log((F.col("bad") + q) / bad) - F.log((F.col("good") + 1 - q) / good)).withColumn("g", _evidence_of(toxic_docs, clean_docs))
+    found = found.where(F.col("g") >= Z * Z).orderBy(F.col("g").desc(), "key").limit(LEXICON).select("key", "value", "good").collect()
     keys = np.array([r.key for r in found], np.int64).view(np.uint64)
     order = np.argsort(keys)
     values = np.array([r.value for r in found])[order]
@@ -130,6 +138,16 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, train_rows: int
     return model
 
 
+def _evidence_of(toxic_docs: int, clean_docs: int) -> Column:
+    """G of the table of toxic and clean documents with a token and without it."""
+    of, have = {"bad_docs": float(toxic_docs), "good_docs": float(clean_docs)}, F.col("bad_docs") + F.col("good_docs")
+    total, g = toxic_docs + clean_docs, F.lit(0.0)
+    for name, n in of.items():
+        for seen, all_seen in ((F.col(name), have), (n - F.col(name), total - have)):
+            g += F.when(seen > 0, 2 * seen * F.log(seen * total / (all_seen * n))).otherwise(0.0)
+    return g
+
+
 def _rate(values: np.ndarray, freq: np.ndarray) -> float:
     """The positive lambda with sum of frequency times exp(lambda times score) equal to 1."""
     rest = max(1 - freq.sum(), 0.0)

@@ -340,6 +340,25 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.score(docs, toxicity.fit(spark, df, lb.limit(0))).agg(F.min("score"), F.max("score")).first() == (0.5, 0.5)
 
 
+@pytest.mark.parametrize("n", [200, 800, 3200])
+def test_rare_toxic_words(spark, n):
+    """Words that only toxic texts have, each in eight of them, and one word often repeated in one toxic text."""
+    rng, rows, labels = random.Random(8), [], []
+    rare = ["nasty", "vile", "foul"]
+    known = [i for i in range(n) if zlib.crc32(str(i).encode()) % 3 != 1]
+    for i in range(n):
+        rows.append([i, [rng.choice("abcdefghij") * rng.randint(1, 4) for _ in range(200)]])
+        labels.append((i, 1, int(i in known[:24])))
+    for k, i in enumerate(known[:24]):
+        rows[i][1][rng.randrange(200)] = rare[k % 3]
+    rows[known[0]][1] += ["burst"] * 300
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    model = toxicity.fit(spark, df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    value = dict(zip(model.keys.tolist(), model.values.tolist()))
+    key = lambda w: int(common.word_rows(w.encode(), np.array([0, len(w) + 1]), common.LETTERS_ONLY)[2][0])
+    assert all(value.get(key(w), 0) > 1 for w in rare) and key("burst") not in value
+
+
 def test_mixing(spark, docs, empty):
     got = mixing.mix(spark, docs.withColumn("target", F.lit("x"))).collect()
     assert len(got) == docs.count()

@@ -46,6 +46,11 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return parts.withColumn("line", F.regexp_replace("line", _TRIM, "")).where("line != ''")
 
 
+def _hashes() -> list[Column]:
+    """The two halves of a line's hash."""
+    return [F.xxhash64("line").alias("one"), F.xxhash64(F.lit("two"), "line").alias("two")]
+
+
 def _block_keys(blocks: int) -> Column:
     """Hashes of the line without each of its blocks, as the shorter of two lines and as the longer."""
 
@@ -96,7 +101,7 @@ def neighbourhood(line: str) -> tuple[np.ndarray, np.ndarray, int]:
 
 
 def _emit(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """role 0: the line itself, 1: without a code point, 2: the same with its place; place: (id, line_no) of the line."""
+    """role 0: the line itself, 1: without a code point, 2: the same with its place; place: (id, line_no) of the line, one: its hash."""
     for batch in rows:
         for i in range(batch.num_rows):
             placed, bare, own = neighbourhood(batch.column(3)[i].as_py())
@@ -140,17 +145,19 @@ def near_lines(spark: SparkSession, docs: DataFrame, distinct: DataFrame, scratc
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(found, pa.string())], ["id", "line_no", "line"])
 
     texts = docs.select(_id().alias("id"), "text").mapInArrow(pick, "id long, line_no int, line string")
-    texts = scratch.keep(texts.join(some, ["id", "line_no"]).dropDuplicates(["one", "two"]), "texts")
+    # by hash, too: documents without an id, or of one id, have several lines at a place
+    texts = texts.select("id", "line_no", "line", *_hashes())
+    texts = scratch.keep(texts.join(some, ["id", "line_no", "one", "two"]).dropDuplicates(["one", "two"]), "texts")
     fine = texts.withColumn("len", F.length("line")).select("one", F.explode(_block_keys(FINE)).alias("key"))
     last = scratch.keep(texts.join(_partnered(fine), "one", "left_semi"), "last")
     keys = scratch.keep(last.select("id", "line_no", "one", "line").repartition(common.partitions(spark), "one").mapInArrow(_emit, "id long, line_no int, one long, role int, key long"), "keys")
-    place = F.struct("id", "line_no")
+    place = F.struct("id", "line_no", "one")
     first = keys.groupBy("key").agg(F.min(F.when(F.col("role") == 0, place)).alias("own"), F.min(F.when(F.col("role") == 1, place)).alias("less"), F.min(F.when(F.col("role") == 2, place)).alias("same"), F.count("*").alias("n")).where("n > 1")
     partner = F.when(F.col("role") == 0, F.col("less")).when(F.col("role") == 1, F.col("own")).otherwise(F.col("same"))
-    best = keys.join(first, "key").withColumn("to", partner).where(F.col("to") < place).groupBy("id", "line_no", "one").agg(F.min("to").alias("to"))
-    best = best.select("id", "line_no", F.col("to.id").alias("to_id"), F.col("to.line_no").alias("to_no"))
-    other = last.select(F.col("id").alias("to_id"), F.col("line_no").alias("to_no"), F.col("line").alias("to_line"))
-    pairs = last.join(best, ["id", "line_no"]).join(other, ["to_id", "to_no"])
+    best = keys.join(first, "key").withColumn("to", partner).where(F.struct("to.id", "to.line_no") < F.struct("id", "line_no")).groupBy("id", "line_no", "one").agg(F.min("to").alias("to"))
+    best = best.select("id", "line_no", "one", F.col("to.id").alias("to_id"), F.col("to.line_no").alias("to_no"), F.col("to.one").alias("to_one"))
+    other = last.select(F.col("id").alias("to_id"), F.col("line_no").alias("to_no"), F.col("one").alias("to_one"), F.col("line").alias("to_line"))
+    pairs = last.join(best, ["id", "line_no", "one"]).join(other, ["to_id", "to_no", "to_one"])
     return pairs.where(F.levenshtein("line", "to_line", 1).between(0, 1)).select("one", "two", "to_id", "to_no")
 
 
@@ -158,7 +165,7 @@ def kept_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """id, kept (line numbers), near (lines first seen there that an earlier line is near to), of documents with a line."""
     scratch = common.Scratch(spark, "lines")
     keys = F.when(F.length("line") >= NEAR_LENGTH, _block_keys(BLOCKS))
-    rows = lines_of(docs).withColumn("len", F.length("line")).select("id", "line_no", "len", F.xxhash64("line").alias("one"), F.xxhash64(F.lit("two"), "line").alias("two"), *(F.get(keys, F.lit(i)).alias(f"k{i}") for i in range(2 * BLOCKS)))
+    rows = lines_of(docs).withColumn("len", F.length("line")).select("id", "line_no", "len", *_hashes(), *(F.get(keys, F.lit(i)).alias(f"k{i}") for i in range(2 * BLOCKS)))
     by = ["one", "two", "len", *(f"k{i}" for i in range(2 * BLOCKS))]
     first = rows.groupBy(*by).agg(F.min(F.struct("id", "line_no")).alias("at"))
     distinct = first.select("one", "two", "len", F.col("at.id").alias("id"), F.col("at.line_no").alias("line_no"), F.array_compact(F.array(*(f"k{i}" for i in range(2 * BLOCKS)))).alias("keys"))

@@ -97,6 +97,18 @@ def test_line_dedup(spark, docs, empty):
     assert line_dedup.dedup(spark, docs).count() == docs.count()
 
 
+def test_line_dedup_of_one_id(spark):
+    """Different lines at one place: documents without an id, and documents of one id."""
+    rng, rows, near = random.Random(9), [], 0
+    for i in range(40):
+        a = "".join(rng.choice("abcdefgh ") for _ in range(30)) + "z"
+        rows += [(None if i % 2 else 3, a), (100 + i, a[:12] + "q" + a[13:])]
+        near += 1
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = line_dedup.kept_lines(spark, df).collect()
+    assert sum(r.near for r in got) == near and {r.id for r in got if r.near} == {100 + i for i in range(40)}
+
+
 def test_seekable_round_trip(spark, docs, empty, tmp_path):
     import public_tokenizers
     from tokenizers import Tokenizer

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -137,7 +138,7 @@ def batches(column, limit: int = SEGMENT, lower: bool = False) -> Iterator[tuple
     for i, x in enumerate(column):
         t = x.as_py()
         if lower and t is not None:
-            t = t.lower()
+            t = plain(t)
         t = b"" if t is None else t.encode("utf-8", "surrogatepass") if isinstance(t, str) else t
         rows.append(t)
         held += len(t) + 1
@@ -148,6 +149,12 @@ def batches(column, limit: int = SEGMENT, lower: bool = False) -> Iterator[tuple
         yield lo, lo + len(rows), *_joined(rows)
 
 
+def plain(t: str) -> str:
+    """t in lower case, with blanks for punctuation beyond ASCII."""
+    t = t.lower()
+    return t if t.isascii() else PUNCTUATION.sub(" ", t)
+
+
 def _joined(rows: list[bytes]) -> tuple[bytes, np.ndarray]:
     at = np.zeros(len(rows) + 1, np.int64)
     np.cumsum([len(r) + 1 for r in rows], out=at[1:])
@@ -164,11 +171,13 @@ def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-LETTERS_ONLY = np.ones(256, bool)
-LETTERS_ONLY[65:91] = LETTERS_ONLY[97:123] = False
-LETTERS_ONLY[128:] = False
-ALNUM_ONLY = LETTERS_ONLY.copy()
-ALNUM_ONLY[48:58] = False
+#: Bytes that end a word: all but ASCII letters, and digits, and the bytes of other characters.
+LETTERS = np.ones(256, bool)
+LETTERS[65:91] = LETTERS[97:123] = LETTERS[128:] = False
+ALNUM = LETTERS.copy()
+ALNUM[48:58] = False
+#: Punctuation and blanks beyond ASCII.
+PUNCTUATION = re.compile("[\u00a0-\u00a9\u00ab-\u00b1\u00b4\u00b6-\u00b8\u00bb-\u00bf\u2000-\u206f\u3000-\u3003\u3008-\u3011\uff01-\uff0f]")
 
 
 def appended(docs: DataFrame, made: str, fn, only: bool = False, lower: bool = False) -> DataFrame:

@@ -1,6 +1,6 @@
 """Operator 7, benchmark decontamination by greedy string tiling.
 
-Words are runs of letters and digits of the lower-cased text. Seeds are runs of MATCH words (an item with fewer
+Words are runs of letters and digits, of any script, of the lower-cased text. Seeds are runs of MATCH words (an item with fewer
 words is one seed) whose rolling Karp-Rabin hashes are equal in a document and in a benchmark item. For a document and an
 item that share seeds, the longest common run without marked words is marked in both, again and again, until no run of
 MATCH unmarked words is left. The marked share of the item's words is its coverage; order plays no part, so passages
@@ -75,7 +75,7 @@ class Index:
     def __init__(self, items: list[tuple[int, bytes]]):
         at = np.zeros(len(items) + 1, np.int64)
         np.cumsum([len(t) + 1 for _, t in items], out=at[1:])
-        _, _, h, cut = common.word_rows(b"\n".join(t for _, t in items), at, common.ALNUM_ONLY)
+        _, _, h, cut = common.word_rows(b"\n".join(t for _, t in items), at, common.ALNUM)
         self.ids, self.sizes = [x for x, _ in items], np.diff(cut)
         self.seeds: list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
         for n in range(1, MATCH + 1):
@@ -91,7 +91,7 @@ class Index:
 
     def matches(self, buf: bytes, at: np.ndarray, least: float) -> Iterator[tuple[int, int, int, int, int]]:
         """(text, item, item's words, covered words, tiles) at least coverage."""
-        _, _, h, cut = common.word_rows(buf, at, common.ALNUM_ONLY)
+        _, _, h, cut = common.word_rows(buf, at, common.ALNUM)
         for n, keys, first, owner, place in self.seeds:
             key, inside = rolling(h, n), runs_within(cut, n, len(h))
             if not len(inside):
@@ -129,7 +129,7 @@ class Index:
 def blocks(items: DataFrame, limit: int = BLOCK_BYTES) -> Iterator[Index]:
     held, size = [], 0
     for r in items.select("item_id", "text").where(F.col("text").isNotNull()).toLocalIterator():
-        t = r.text.lower().encode("utf-8", "surrogatepass")
+        t = common.plain(r.text).encode("utf-8", "surrogatepass")
         held.append((r.item_id, t))
         size += len(t)
         if size >= limit:

@@ -1,9 +1,10 @@
 """Operator 9, toxicity by maximum-scoring segments.
 
-Tokens are runs of letters. From labelled documents each token gets the log-odds of toxic against clean text, shrunk by one
-pseudo-token dealt by the two kinds' sizes. Tokens score these if a G-test of their documents (how many toxic and how many
-clean ones have the token) reaches Z squared, the evidence of Z standard errors; all others cost a little. The test needs no
-clean document with the token, and a token often repeated in one document counts once.
+Tokens are runs of letters, of any script, in lower case. From labelled documents each token gets the log-odds of toxic against clean text,
+shrunk by one pseudo-token dealt by the two kinds' sizes. Tokens score these if they are large (FLOOR) and if a G-test of
+their documents (how many toxic and how many clean ones have the token) reaches Z squared, the evidence of Z standard errors;
+all others cost a little. The test needs no clean document with the token, and a token often repeated in one document counts
+once. FLOOR keeps out common words that toxic documents have more often only because they are longer.
 
 In a text, the linear-time scan of Ruzzo and Tompa finds all maximal segments. Segment scores of random text have an
 extreme-value law: with lambda from the clean token frequencies and K counted on clean documents, a segment of score S in n
@@ -13,7 +14,10 @@ curve fitted on the labelled documents turns it into a score.
 TRAIN_ROWS bounds the labelled rows that are used (those of smallest hash of doc_id) and LEXICON the tokens that score.
 
 Defined cases: a null or empty text has no evidence and the score of such; with no label, or labels of one class, every
-score is 0.5 or that class's share; several labels of one doc_id count as their maximum, null labels not at all.
+score is 0.5 or that class's share; several labels of one doc_id count as their maximum, null labels not at all; rows of
+equal or null doc_id are scored each by their own text; ties among tokens go to the smaller key; a text of any length is
+scored whole, in memory of its own size; an empty table gives an empty result; other columns stay as they are, but a column
+named score is replaced.
 """
 
 from __future__ import annotations
@@ -30,6 +34,7 @@ from . import common
 TRAIN_ROWS = 20_000
 LEXICON = 50_000
 Z = 4.0
+FLOOR = 2.0
 COST = 0.02
 LIMIT = 0.7
 MOST = 40.0
@@ -77,7 +82,7 @@ class Model:
 
     def passages(self, buf: bytes, at: np.ndarray):
         """For each text of a run: tokens, and its segments."""
-        _, _, h, cut = common.word_rows(buf, at, common.LETTERS_ONLY)
+        _, _, h, cut = common.word_rows(buf, at, common.LETTERS)
         if not len(self.keys):
             return [(int(b - a), []) for a, b in zip(cut[:-1], cut[1:])]
         i = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
@@ -100,14 +105,15 @@ class Model:
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     scratch = common.Scratch(spark, "toxic")
     sample = scratch.keep(sample_of(labels, train_rows), "sample")  # train_rows rows at most, so that it can be broadcast
-    joined = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", F.col("_toxic").cast("int").alias("toxic"))
-    train = scratch.keep(joined.repartition(common.partitions(spark)), "train")
+    joined = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    one = joined.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("_toxic").cast("int").alias("toxic"))  # rows of one id: one
+    train = scratch.keep(one.select("text", "toxic").repartition(common.partitions(spark)), "train")
 
     def count(rows):
         for batch in rows:
             toxic = np.array(batch.column(1).to_pylist()) > 0
-            for lo, hi, buf, at in common.batches(batch.column(0)):
-                _, _, h, cut = common.word_rows(buf, at, common.LETTERS_ONLY)
+            for lo, hi, buf, at in common.batches(batch.column(0), lower=True):
+                _, _, h, cut = common.word_rows(buf, at, common.LETTERS)
                 keys, which = np.unique(h, return_inverse=True)
                 mark = np.repeat(toxic[lo:hi], np.diff(cut))
                 bad = np.bincount(which, mark, len(keys)).astype(np.int64)
@@ -128,7 +134,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, train_rows: int
     q = bad / (bad + good)  # one pseudo-token of either kind's share: a token of no evidence has value 0
     toxic_docs, clean_docs = train.agg(F.count_if(F.col("toxic") > 0), F.count_if(F.col("toxic") <= 0)).first()
     found = counts.withColumn("value", F.log((F.col("bad") + q) / bad) - F.log((F.col("good") + 1 - q) / good)).withColumn("g", _evidence_of(toxic_docs, clean_docs))
-    found = found.where(F.col("g") >= Z * Z).orderBy(F.col("g").desc(), "key").limit(LEXICON).select("key", "value", "good").collect()
+    found = found.where((F.col("g") >= Z * Z) & (F.abs("value") >= FLOOR)).orderBy(F.col("g").desc(), "key").limit(LEXICON).select("key", "value", "good").collect()
     keys = np.array([r.key for r in found], np.int64).view(np.uint64)
     order = np.argsort(keys)
     values = np.array([r.value for r in found])[order]
@@ -161,20 +167,26 @@ def _rate(values: np.ndarray, freq: np.ndarray) -> float:
 
 def _calibrate(train: DataFrame, model: Model, good: int) -> tuple[float, tuple[float, float]]:
     """K, and the logistic curve from evidence to label; the rows are bounded by the sample."""
+    level = 2.0 / model.rate
 
-    def run(rows):
+    def over(rows):
         for batch in rows:
             toxic = batch.column(1).to_pylist()
-            for lo, hi, buf, at in common.batches(batch.column(0)):
-                for t, (n, found) in zip(toxic[lo:hi], model.passages(buf, at)):
-                    yield pa.RecordBatch.from_pydict({"toxic": pa.array([t], pa.int32()), "n": [n], "found": pa.array([[s[0] for s in found]], pa.list_(pa.float64()))})
+            for lo, hi, buf, at in common.batches(batch.column(0), lower=True):
+                n = sum(x[0] >= level for t, (_, found) in zip(toxic[lo:hi], model.passages(buf, at)) if not t for x in found)
+                yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
 
-    rows = train.mapInArrow(run, "toxic int, n long, found array<double>").collect()
-    level = 2.0 / model.rate
-    above = sum(s >= level for r in rows if not r.toxic for s in r.found)
+    above = train.mapInArrow(over, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     model.k = (above + 0.5) / (good * math.exp(-model.rate * level))
-    x = np.array([model.evidence(r.n, [(s, 0, 0) for s in r.found]) for r in rows])
-    y = np.array([float(r.toxic > 0) for r in rows])
+
+    def weigh(rows):
+        for batch in rows:
+            for lo, hi, buf, at in common.batches(batch.column(0), lower=True):
+                x = [model.evidence(*p) for p in model.passages(buf, at)]
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(lo, hi - lo), pa.array(x, pa.float64())], ["toxic", "x"])
+
+    rows = train.mapInArrow(weigh, "toxic int, x double").toArrow()  # two numbers for each row of the sample
+    x, y = rows.column("x").to_numpy(), (rows.column("toxic").to_numpy() > 0).astype(float)
     a = b = 0.0
     for _ in range(50):  # Newton's steps with a small ridge
         p = 1 / (1 + np.exp(-np.clip(a + b * x, -40, 40)))
@@ -188,7 +200,7 @@ def _calibrate(train: DataFrame, model: Model, good: int) -> tuple[float, tuple[
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """docs with score."""
-    return common.appended(docs, "score double", model.scores)
+    return common.appended(docs, "score double", model.scores, lower=True)
 
 
 def op9_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -200,4 +212,4 @@ def op9_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is under LIMIT."""
     model = fit(spark, docs, common.table(spark, sf_dir, "labels"))
-    return common.appended(docs, "keep boolean", lambda buf, at: [model.scores(buf, at)[0] < LIMIT], only=True)
+    return common.appended(docs, "keep boolean", lambda buf, at: [model.scores(buf, at)[0] < LIMIT], only=True, lower=True)

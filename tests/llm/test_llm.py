@@ -367,10 +367,64 @@ def test_rare_toxic_words(spark, n):
     df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
     model = toxicity.fit(spark, df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
     value = dict(zip(model.keys.tolist(), model.values.tolist()))
-    key = lambda w: int(common.word_rows(w.encode(), np.array([0, len(w) + 1]), common.LETTERS_ONLY)[2][0])
+    key = lambda w: int(common.word_rows(w.encode(), np.array([0, len(w) + 1]), common.LETTERS)[2][0])
     assert all(value.get(key(w), 0) > 1 for w in rare) and key("burst") not in value
 
 
+def test_toxic_words_beyond_ascii(spark):
+    """Words that differ from clean ones in accents alone, and a script without ASCII; none of a common word's lengthier use."""
+    rng, rows, labels = random.Random(3), [], []
+    for i in range(600):
+        bad = i % 5 == 0
+        w = [rng.choice(["réal", "note", "слово", "other", "mot"]) for _ in range(rng.randint(40, 60) * (2 if bad else 1))]
+        if bad:
+            w[3], w[9] = rng.choice([("réâl", "дурень"), ("réâl", "réâl"), ("дурень", "дурень")])
+        rows.append((i, " ".join(w)))
+        labels.append((i, 1, int(bad)))
+    df, lb = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = toxicity.fit(spark, df, lb)
+    assert len(model.keys) == 2 and (model.values > toxicity.FLOOR).all()
+    got = toxicity.score(df, model).where(toxicity.held_out()).collect()
+    assert all((r.score >= toxicity.LIMIT) == (r.doc_id % 5 == 0) for r in got)
+
+
+def test_toxic_model_by_brute_force(spark):
+    """Lexicon, lambda and K against their definitions on a small corpus."""
+    rng, rows, labels = random.Random(13), [], []
+    for i in range(300):
+        bad = i % 3 == 0
+        rows.append((i, " ".join(rng.choice(["vile", "foul", "kind", "aa"] if bad and rng.random() < 0.3 else ["aa", "bb", "cc", "kind", "dd"]) for _ in range(30))))
+        labels.append((i, 1, int(bad)))
+    known = [i for i in range(300) if zlib.crc32(str(i).encode()) % 3 != 1]
+    bad, good, bad_docs, good_docs = Counter(), Counter(), Counter(), Counter()
+    for i in known:
+        w = rows[i][1].split()
+        (bad if i % 3 == 0 else good).update(w)
+        (bad_docs if i % 3 == 0 else good_docs).update(set(w))
+    nb, ng = sum(i % 3 == 0 for i in known), sum(i % 3 != 0 for i in known)
+    tb, tg = sum(bad.values()), sum(good.values())
+    q, want = tb / (tb + tg), {}
+    for w in bad | good:
+        table = ((bad_docs[w], nb, bad_docs[w] + good_docs[w]), (nb - bad_docs[w], nb, nb + ng - bad_docs[w] - good_docs[w]), (good_docs[w], ng, bad_docs[w] + good_docs[w]), (ng - good_docs[w], ng, nb + ng - bad_docs[w] - good_docs[w]))
+        g = sum(2 * x * math.log(x * (nb + ng) / (side * both)) for x, side, both in table if x)
+        value = math.log((bad[w] + q) / tb) - math.log((good[w] + 1 - q) / tg)
+        if g >= toxicity.Z**2 and abs(value) >= toxicity.FLOOR:
+            want[w] = value
+    df, lb = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = toxicity.fit(spark, df, lb)
+    key = lambda w: int(common.word_rows(w.encode(), np.array([0, len(w) + 1]), common.LETTERS)[2][0])
+    assert dict(zip(model.keys.tolist(), model.values.tolist())) == pytest.approx({key(w): v for w, v in want.items()}) and {"vile", "foul"} <= set(want)
+    freq = {w: (good[w] + 0.5) / (tg + 1) for w in want}
+    assert sum(freq[w] * math.exp(model.rate * v) for w, v in want.items()) + (1 - sum(freq.values())) * math.exp(-model.rate * toxicity.COST) == pytest.approx(1, abs=1e-6)
+    above = 0
+    for i in known:
+        if i % 3:
+            w = rows[i][1].split()
+            at = [k for k, x in enumerate(w) if x in want]
+            above += sum(s >= 2 / model.rate for s, _, _ in toxicity.segments(np.array(at), np.array([want[w[k]] for k in at])))
+    assert model.k == pytest.approx((above + 0.5) / (tg * math.exp(-2)))
+
+
 def test_mixing(spark, docs, empty):
     got = mixing.mix(spark, docs.withColumn("target", F.lit("x"))).collect()
     assert len(got) == docs.count()

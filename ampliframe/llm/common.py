@@ -8,6 +8,8 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +56,17 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free(taken: list[str], *names: str) -> list[str]:
+    """names, each with as many underscores behind it as it takes to be none of taken, in any case of letters."""
+    used, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -129,6 +142,16 @@ def words_of(buf: bytes, space: np.ndarray = SPACE, kinds: np.ndarray | None = N
     return np.concatenate(starts), np.concatenate(ends), np.concatenate(hashes)
 
 
+def runs(column, limit: int = SEGMENT) -> Iterator[tuple[int, int]]:
+    """Runs of rows of an Arrow text column that hold about limit bytes: first row, end row."""
+    size = pc.cumulative_sum(pc.add(pc.fill_null(pc.binary_length(column), 0), 1).cast(pa.int64())).to_numpy() if len(column) else np.zeros(0, np.int64)
+    lo = 0
+    while lo < len(size):
+        hi = int(np.searchsorted(size, (size[lo - 1] if lo else 0) + limit)) + 1
+        yield lo, min(hi, len(size))
+        lo = hi
+
+
 def batches(column, limit: int = SEGMENT, lower: bool = False) -> Iterator[tuple[int, int, bytes, np.ndarray]]:
     """Runs of rows of an Arrow text column: first row, end row, their bytes joined by line ends, each text's start.
 
@@ -195,7 +218,6 @@ def appended(docs: DataFrame, made: str, fn, only: bool = False, lower: bool = F
     at_columns = [docs.columns.index(c) for c in keep]
 
     def run(rows):
-        import pyarrow as pa
         from pyspark.sql.pandas.types import to_arrow_type
 
         types = [to_arrow_type(f.dataType) for f in fields]

@@ -99,14 +99,44 @@ def test_line_dedup(spark, docs, empty):
 
 def test_line_dedup_of_one_id(spark):
     """Different lines at one place: documents without an id, and documents of one id."""
-    rng, rows, near = random.Random(9), [], 0
+    rng, rows = random.Random(9), []
     for i in range(40):
         a = "".join(rng.choice("abcdefgh ") for _ in range(30)) + "z"
         rows += [(None if i % 2 else 3, a), (100 + i, a[:12] + "q" + a[13:])]
-        near += 1
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     got = line_dedup.kept_lines(spark, df).collect()
-    assert sum(r.near for r in got) == near and {r.id for r in got if r.near} == {100 + i for i in range(40)}
+    assert sum(r.near for r in got) == 40 and {r.id for r in got if r.near} == {100 + i for i in range(40)}
+    # rows of one id, and without, that share a line in other places; and copies of a row
+    rows = [(7, "a shared line of both\nonly here one"), (7, "only there two\na shared line of both"), (None, "x y z\nno id at all here"), (None, "no id at all here\nw"), *[(9, "copied text line one\ncopied two")] * 50]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    texts = [r.text for r in line_dedup.dedup(spark, df).collect()]
+    lines = Counter(x for t in texts for x in t.split("\n") if x)
+    assert len(texts) == len(rows) and set(lines.values()) == {1} and len(lines) == 8
+
+
+def test_line_dedup_clashes_and_short_lines(spark):
+    rows = [(1, "ab\ncd", "x", 1, 2), (2, "ac\nlonger line that stays", "y", 3, 4), (3, "longer line that stay", "z", 5, 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _id string, judged int, row int")
+    out = line_dedup.dedup(spark, df)
+    assert out.columns == df.columns and {r.doc_id: (r.text, r._id, r.judged, r.row) for r in out.collect()} == {1: ("ab\ncd", "x", 1, 2), 2: ("ac\nlonger line that stays", "y", 3, 4), 3: ("", "z", 5, 6)}
+    assert [r.text for r in line_dedup.dedup(spark, df, near_length=0).orderBy("doc_id").collect()] == ["ab\ncd", "longer line that stays", ""]
+
+
+def test_line_signatures():
+    """Keys of lines one edit apart meet, whatever their length; hashes are equal for equal lines alone."""
+    rng = random.Random(3)
+    for blocks in (4, 32):
+        for _ in range(200):
+            a = "".join(rng.choice("ab\u00e9\U0001F600 c") for _ in range(rng.randint(0, 70))) + "z"
+            a = "y" + a
+            k = rng.randrange(len(a))
+            for b in (a[:k] + a[k + 1 :], a[:k] + "q" + a[k:], a[:k] + "q" + a[k + 1 :]):
+                if b.strip() == b and b:
+                    text, number, n, one, two, keys = line_dedup.signatures(["x\n " + a + "\t", "", b], blocks)
+                    assert text.tolist() == [0, 0, 2] and number.tolist() == [0, 1, 0] and n.tolist() == [1, len(a), len(b)]
+                    assert set(keys[1].tolist()) & set(keys[2].tolist()) and one[1] != one[2]
+    _, _, _, one, two, _ = line_dedup.signatures(["ab cd", " ab cd\nab  cd"], 0)
+    assert one[0] == one[1] != one[2] and two[0] == two[1] != two[2]
 
 
 def test_seekable_round_trip(spark, docs, empty, tmp_path):

@@ -27,9 +27,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset and
+    executors are threads of the driver, as in tests."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = getattr(shared_dir, "own", None) or tempfile.mkdtemp(prefix="ampliframe-")
         shared_dir.own = path
     if spark.sparkContext.getCheckpointDir() is None:
@@ -38,10 +41,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables written to the shared folder in place of cached data, so that a lost executor loses nothing."""
+    """Tables written to the shared folder in place of cached data, so that a lost executor loses nothing.
+
+    Results are read from them lazily, so they stay until they are dropped or the driver ends, which deletes the folder.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        store.mkdirs(path)
+        store.deleteOnExit(path)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -50,10 +60,10 @@ class Scratch:
         df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
-    def drop(self, name: str) -> None:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+    def drop(self, *names: str) -> None:
+        for name in names:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def free(taken: list[str], *names: str) -> list[str]:
@@ -67,6 +77,52 @@ def free(taken: list[str], *names: str) -> list[str]:
     return out
 
 
+class Salted:
+    """A join of many rows with few for each key, where one key may have a large share of the many.
+
+    Keys with more than a MOST-th part of the many rows, and LEAST rows, are hot: MOST keys at most, so that their table can
+    be broadcast. The rows of a hot key are dealt over several tasks by a hash of the columns by, and the other side's row
+    goes to each of them.
+    """
+
+    LEAST, MOST = 256, 4096
+
+    def __init__(self, many: DataFrame, keys: list[str], by: list[str]):
+        self.many, self.keys, self.by = many, keys, by
+        counts = many.groupBy(*keys).agg(F.count("*").alias("_rows"))
+        limit = max(self.LEAST, many.count() // self.MOST)
+        hot = counts.where(F.col("_rows") > limit).select(*keys, F.ceil(F.col("_rows") / limit).cast("int").alias("_cuts"))
+        rows = hot.take(self.MOST)
+        self.hot = F.broadcast(many.sparkSession.createDataFrame(rows, hot.schema)) if rows else None
+
+    def join(self, few: DataFrame, how: str = "inner", many: DataFrame | None = None) -> DataFrame:
+        """many (or a table of its keys) with few; few has the same names for the keys."""
+        many = self.many if many is None else many
+        if self.hot is None:
+            return many.join(few, self.keys, how)
+        cuts = F.coalesce("_cuts", F.lit(1))
+        left = many.join(self.hot, self.keys, "left").withColumn("_salt", F.pmod(F.xxhash64(*self.by), cuts)).drop("_cuts")
+        right = few.join(self.hot, self.keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), cuts.cast("long") - 1))).drop("_cuts")
+        return left.join(right, [*self.keys, "_salt"], how).drop("_salt")
+
+
+def once_each(rows: DataFrame, key: str) -> DataFrame:
+    """rows without those whose long key a row before has in the same partition: what is left of a key, however many rows
+    it has, is a row for each partition. Rows without a key all stay."""
+    at = rows.columns.index(key)
+
+    def run(batches):
+        seen = set()
+        for batch in batches:
+            new = []
+            for k in batch.column(at).to_pylist():
+                new.append(k is None or k not in seen)
+                seen.add(k)
+            yield batch.filter(pa.array(new, pa.bool_()))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -1,31 +1,39 @@
 """Operator 5, near-duplicates by bottom-k sketches of one hash function.
 
 A document's set is that of its N-word shingles. Equal sets form one class. Of each class's set the SKETCH smallest hash
-values are retained. Retained values in the order of how rarely they are retained (by a hashed count table of fixed size)
-give each class its PREFIX rarest, and these go into inverted lists. Classes that meet in a list, with sizes and marks
-that allow it, are candidates; the union's sketch estimates their Jaccard index, and the full sets confirm it. A class's
-mark has a bit of 128 for each of its MARKED smallest values, so that lists needn't carry sketches.
+values are retained, and ordered by how rarely they are retained (by a hashed count table of fixed size). The rarest of them
+go into inverted lists. Sets of at most WHOLE values, and all their possible partners, are held whole by their sketches: they
+list as many as an exact prefix filter asks for, n - ceil(0.8 n) + 1, so that a value that many short texts share makes no
+list, and a pair's places in a list bound its overlap. Larger sets list PREFIX values. Classes that meet in a list, with
+sizes, places and marks that allow it, are candidates; the union's sketch estimates their Jaccard index, and the full sets
+confirm it. A class's mark has a bit of 128 for each of its MARKED smallest values, so that lists needn't carry sketches.
 
 No list is expanded into its pairs. First each list pairs its members with PIVOTS members alone, which links the copies of
-a hot group to each other through a few; then only pairs of a list whose members are still in different components are
-tried, which in lists of true copies are few and in lists of chance meetings are cut by sizes and marks. The values that
-only one of two sets has are the rarest, so they come first in its prefix. At worst one set lies in the other and has LEAST
-per cent of its size: then a fifth of the larger set's SKETCH values lack a partner, and prefixes overlap in none only if
-PREFIX of them do, and marks in less than COMMON bits only if 20 of MARKED values do: once in 10 ** 6 at most (binomial
-tails). The estimate fails less often.
+a hot group to each other through a few. Then only pairs of a list whose members are still in different components are
+tried: those of lists of up to SHORT members directly; the members of longer ones by an exact prefix filter of their full
+sets, in which a passage that all of them share is common and thus lists nothing. Lists of that which are long again are
+compared in blocks of bounded bytes, by counting shared values.
+
+For larger sets, the values that only one of two has are the rarest, so they come first in its prefix. At worst one set lies
+in the other and has LEAST per cent of its size: then a fifth of the larger set's SKETCH values lack a partner, and prefixes
+overlap in none only if PREFIX of them do, and marks in less than COMMON bits only if 20 of MARKED values do: once in
+10 ** 6 at most (binomial tails). The estimate fails less often. README gives recall against exact links.
 
 Full sets are made anew from the texts of those documents that need them, chosen by a bit table of fixed size, so that
-texts are never shuffled.
+texts are never shuffled. Joins on lists, pivots and component roots deal hot keys over several tasks.
 
 Defined cases: a null or empty text, or one without words, has an empty set and no links; a null doc_id has no links, no
-component and is kept; rows with equal doc_id are one node with the sets of all; all ties go to the smaller doc_id.
+component and is kept; rows with equal doc_id are one node with the sets of all; all ties go to the smaller doc_id; a text
+of any length is taken whole, in memory of its own size; an empty table gives an empty result. As a stage, rows and not ids
+are nodes: rows of equal or null doc_id are judged by their own texts, of rows equal in doc_id and text one stays, rows without words all stay, and other
+columns are carried along, whatever their names.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -41,10 +49,18 @@ ESTIMATE = 50
 BUCKETS = 1 << 18
 BITS = 1 << 23
 SHORT = 64
-BLOCK = 512
-QUERIES = 2048
-FACTS = ["n", "m0", "m1"]
-FACTS2 = ["n2", "m02", "m12"]
+#: Sets up to this size have partners of at most SKETCH values.
+WHOLE = SKETCH * LEAST // 100
+#: Values of members and of queries that one task compares.
+BLOCK = 1 << 18
+QUERIES = 1 << 20
+FACTS = ["n", "b", "m0", "m1"]
+FACTS2 = ["n2", "b2", "m02", "m12"]
+
+
+def prefix_of(n: np.ndarray) -> np.ndarray:
+    """How many of a set's n values, rarest first, must be listed so that no link is missed."""
+    return n + (n * LEAST) // -100 + 1
 
 
 def sets_of(buf: bytes, at: np.ndarray, n: int) -> list[np.ndarray]:
@@ -64,8 +80,8 @@ def sets_of(buf: bytes, at: np.ndarray, n: int) -> list[np.ndarray]:
     return out
 
 
-def sketches(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles, two fingerprints of the set, and its sketch."""
+def sketches(docs: DataFrame, n: int, carry: str | None = None) -> DataFrame:
+    """doc_id, n_shingles, two fingerprints of the set, its sketch, and the long column carry."""
 
     def run(rows):
         for batch in rows:
@@ -78,9 +94,10 @@ def sketches(docs: DataFrame, n: int) -> DataFrame:
                 offsets = np.cumsum([0, *map(len, least)]).astype(np.int32)
                 sketch = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(least)))
                 columns = [batch.column(0).slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array(common.signed(one)), pa.array(common.signed(two)), sketch]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "one", "two", "sketch"])
+                yield pa.RecordBatch.from_arrays([*columns, *(c.slice(lo, hi - lo) for c in batch.columns[2:])], [f.split()[0] for f in kind.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, one long, two long, sketch array<long>")
+    kind = "doc_id long, n_shingles long, one long, two long, sketch array<long>" + (f", {carry} long" if carry else "")
+    return docs.select(F.col("doc_id").cast("long"), "text", *([carry] if carry else [])).mapInArrow(run, kind)
 
 
 def _bits(spark: SparkSession, ids: DataFrame):
@@ -110,55 +127,75 @@ def full_sets(spark: SparkSession, docs: DataFrame, ids: DataFrame, n: int) -> D
     return known.select("doc_id", "text", F.xxhash64("doc_id").bitwiseAND(BITS - 1).alias("at")).mapInArrow(run, "doc_id long, set array<long>")
 
 
-def postings(spark: SparkSession, classes: DataFrame) -> DataFrame:
-    """v, rep, n, m0, m1 (the mark): a row for each of a class's PREFIX rarest retained values."""
-    values = classes.select(F.explode("sketch").alias("v"))
-    found = values.groupBy(F.col("v").bitwiseAND(BUCKETS - 1).cast("int").alias("bucket")).count().collect()  # BUCKETS rows at most
+def _counts(spark: SparkSession, found: DataFrame):
+    """Sums of n by bucket (bucket, n), as a table of fixed size for all tasks."""
     counts = np.zeros(BUCKETS, np.int64)
-    for b, c in found:
+    for b, c in found.groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # BUCKETS rows at most
         counts[b] = c
-    sent = spark.sparkContext.broadcast(counts)
+    return spark.sparkContext.broadcast(counts)
+
+
+def _ranked(flat: np.ndarray, cut: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The values of lists flat[cut[i]:cut[i+1]], each list's rarest first: order, owner, place (from 1)."""
+    owner = np.repeat(np.arange(len(cut) - 1), np.diff(cut))
+    order = np.lexsort((flat, counts[flat & (BUCKETS - 1)], owner))
+    return order, owner, np.arange(len(flat)) - cut[owner] + 1
+
+
+def postings(spark: SparkSession, classes: DataFrame) -> DataFrame:
+    """v, rep, n, b, m0, m1: a row for each value that a class lists; b: the most that classes with v as their rarest common
+    value can share, for sets held whole; m0, m1: the mark."""
+    sent = _counts(spark, classes.select(F.explode("sketch").alias("v")).groupBy(F.col("v").bitwiseAND(BUCKETS - 1).cast("int").alias("bucket")).agg(F.count("*").alias("n")))
 
     def run(rows):
         for batch in rows:
             reps, sizes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             sketch = batch.column(2)
             flat, cut = sketch.flatten().to_numpy(), np.concatenate([[0], np.cumsum(sketch.value_lengths().to_numpy())])
-            rare = sent.value[flat & (BUCKETS - 1)]
-            owner = np.repeat(np.arange(len(reps)), np.diff(cut))
-            order = np.lexsort((flat, rare, owner))
-            place = np.arange(len(flat)) - cut[owner]
-            order = order[place < PREFIX]
-            owner, v = owner[order], flat[order]
+            order, whose, place = _ranked(flat, cut, sent.value)
+            listed = place <= np.where(sizes <= WHOLE, prefix_of(sizes), PREFIX)[whose]
+            owner, v, bound = whose[listed], flat[order[listed]], sizes[whose[listed]] - place[listed] + 1
             # sketches are ascending, so that their high bits say little: bits of the middle of the first MARKED of each
-            at, bit = np.flatnonzero(place < MARKED), (flat.view(np.uint64) >> np.uint64(24)) & np.uint64(127)
-            whose = np.repeat(np.arange(len(reps)), np.diff(cut))[at]
+            at, bit = np.flatnonzero(place <= MARKED), (flat.view(np.uint64) >> np.uint64(24)) & np.uint64(127)
             marks = []
             for half in (0, 1):
                 mark = np.zeros(len(reps), np.uint64)
                 on = (bit[at] >> np.uint64(6)) == half
-                np.bitwise_or.at(mark, whose[on], np.uint64(1) << (bit[at][on] & np.uint64(63)))
+                np.bitwise_or.at(mark, whose[at][on], np.uint64(1) << (bit[at][on] & np.uint64(63)))
                 marks.append(pa.array(common.signed(mark[owner])))
-            yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(reps[owner]), pa.array(sizes[owner]), *marks], ["v", "rep", "n", "m0", "m1"])
+            yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(reps[owner]), pa.array(sizes[owner]), pa.array(bound), *marks], ["v", "rep", *FACTS])
+
+    return classes.select("rep", "n", "sketch").mapInArrow(run, "v long, rep long, n long, b long, m0 long, m1 long")
+
 
-    return classes.select("rep", "n", "sketch").mapInArrow(run, "v long, rep long, n long, m0 long, m1 long")
+def _places_allow(n: Column, m: Column, b: Column, c: Column) -> Column:
+    """Sets of n and m values that can share b and c at most may be linked."""
+    return (100 * F.least(n, m) >= LEAST * F.greatest(n, m)) & ((100 + LEAST) * F.least(b, c) >= LEAST * (n + m))
 
 
-def _may_link(one: list[str], two: list[str]) -> Column:
-    """Sizes and marks (n, m0, m1) allow the link; sets of less than MARKED values have no say by their marks."""
-    n, m = one[0], two[0]
-    sizes = 100 * F.least(n, m) >= LEAST * F.greatest(n, m)
-    both = sum((F.bit_count(F.col(a).bitwiseAND(F.col(b))) for a, b in zip(one[1:], two[1:])), F.lit(0))
+def _may_link() -> Column:
+    """Sizes, places and marks (FACTS, FACTS2) allow the link; sets of less than MARKED values have no say by their marks, and
+    those beyond their sketches none by their places."""
+    n, m = F.col("n"), F.col("n2")
+    whole = F.greatest(n, m) <= SKETCH
+    sizes = _places_allow(n, m, F.when(whole, F.col("b")).otherwise(n), F.when(whole, F.col("b2")).otherwise(m))
+    both = F.bit_count(F.col("m0").bitwiseAND(F.col("m02"))) + F.bit_count(F.col("m1").bitwiseAND(F.col("m12")))
     return sizes & ((F.least(n, m) < MARKED) | (both >= COMMON))
 
 
+def _beside(pairs: DataFrame, values: DataFrame, name: str, to: tuple[str, str]) -> DataFrame:
+    """pairs (a, b), a written table, with the column name of values (key, name) for a and for b."""
+    sides = [values.select(F.col(values.columns[0]).alias(x), F.col(name).alias(y)) for x, y in zip("ab", to)]
+    half = common.Salted(pairs, ["a"], ["b"]).join(sides[0])
+    # the pairs of a hot b are those of a hot pivot, whose own values a pair need not carry
+    return common.Salted(pairs, ["b"], ["a"]).join(sides[1], many=half)
+
+
 def likely(classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Of pairs (a, b), those whose union's sketch lets them pass."""
-    one = classes.select(F.col("rep").alias("a"), F.col("sketch").alias("sa"))
-    two = classes.select(F.col("rep").alias("b"), F.col("sketch").alias("sb"))
+    """Of pairs (a, b), a written table, those whose union's sketch lets them pass."""
     union = F.slice(F.sort_array(F.array_union("sa", "sb")), 1, SKETCH)
     passed = 100 * F.size(F.array_intersect(F.array_intersect("u", "sa"), "sb")) >= ESTIMATE * F.size("u")
-    return pairs.join(one, "a").join(two, "b").withColumn("u", union).where(passed).select("a", "b").distinct()
+    return _beside(pairs, classes.select("rep", "sketch"), "sketch", ("sa", "sb")).withColumn("u", union).where(passed).select("a", "b").distinct()
 
 
 def linked(i, x, y):
@@ -167,9 +204,8 @@ def linked(i, x, y):
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of pairs (a, b), those that the full sets confirm."""
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("y")), "b")
-    both = both.withColumn("i", F.size(F.array_intersect("x", "y")))
+    """Of pairs (a, b), a written table, those that the full sets confirm."""
+    both = _beside(pairs, sets.select("doc_id", "set"), "set", ("x", "y")).withColumn("i", F.size(F.array_intersect("x", "y")))
     return both.where(linked(F.col("i"), F.size("x"), F.size("y"))).select("a", "b").distinct()
 
 
@@ -207,18 +243,62 @@ def group_links(table: pa.Table) -> pa.Table:
 
 
 def hot_links(groups: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (a, b) between members of different roots in groups (g, rep, root), without making pairs into rows.
+    """Links (a, b) between members of different roots in groups (v, g, rep, root, n), without making pairs into rows.
 
-    A group is dealt in blocks of about BLOCK members by about QUERIES members that are outside its main component g.
+    A group is dealt in blocks of about BLOCK values of members by about QUERIES values of those outside its main root g.
     """
-    size = groups.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.ceil((F.sum((F.col("root") != F.col("g")).cast("int")) + 1) / QUERIES).cast("int").alias("cuts"))
-    all_rows = groups.join(size, "g")
+    outside = F.sum(F.when(F.col("root") != F.col("g"), F.col("n")).otherwise(0))
+    size = groups.groupBy("v").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"), F.ceil((outside + 1) / QUERIES).cast("int").alias("cuts"))
+    all_rows = groups.join(size, "v")
     block, cut = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"), F.pmod(F.xxhash64("rep", F.lit(1)), F.col("cuts")).cast("int")
     members = all_rows.withColumn("block", block).withColumn("cut", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).withColumn("query", F.lit(False))
     queries = all_rows.where("root != g").withColumn("cut", cut).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("query", F.lit(True))
-    cols = ["g", "block", "cut", "query", "rep", "root"]
+    cols = ["v", "block", "cut", "query", "rep", "root"]
     dealt = members.select(cols).union(queries.select(cols)).join(sets.withColumnRenamed("doc_id", "rep"), "rep")
-    return dealt.groupBy("g", "block", "cut").applyInArrow(group_links, "a long, b long").distinct()
+    return dealt.groupBy("v", "block", "cut").applyInArrow(group_links, "a long, b long").distinct()
+
+
+def _split(listed: DataFrame, hot: common.Salted | None = None) -> DataFrame:
+    """listed (v, root, ...) of lists with more than one root, with every (members) and g (the root of most)."""
+    size = listed.groupBy("v", "root").agg(F.count("*").alias("n"))
+    some = size.groupBy("v").agg(F.sum("n").alias("every"), F.count("*").alias("roots"), F.max_by("root", F.struct("n", "root")).alias("g")).where("roots > 1").drop("roots")
+    return (hot or common.Salted(listed, ["v"], ["rep"])).join(some, many=listed)
+
+
+def _pairs(listed: DataFrame, allowed: Column) -> DataFrame:
+    """a, b of lists' members of different roots; lists are short."""
+    other = listed.select("v", *(F.col(c).alias(f"{c}2") for c in listed.columns if c != "v"))
+    found = listed.join(other, "v").where((F.col("root") < F.col("root2")) & allowed)
+    return found.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
+
+
+def prefix_links(spark: SparkSession, members: DataFrame, sets: DataFrame, scratch: common.Scratch) -> DataFrame:
+    """Links (a, b) between members (rep, root) of different roots, by an exact prefix filter of their full sets."""
+    held = scratch.keep(members.join(sets.withColumnRenamed("doc_id", "rep"), "rep"), "held")
+
+    def count(rows):
+        total = np.zeros(BUCKETS, np.int64)
+        for batch in rows:
+            total += np.bincount(batch.column(0).flatten().to_numpy() & (BUCKETS - 1), minlength=BUCKETS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["bucket", "n"])
+
+    sent = _counts(spark, held.select("set").mapInArrow(count, "bucket int, n long"))
+
+    def run(rows):
+        for batch in rows:
+            rep, root, flat = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).flatten().to_numpy()
+            cut = np.concatenate([[0], np.cumsum(batch.column(2).value_lengths().to_numpy())])
+            n = np.diff(cut)
+            order, owner, place = _ranked(flat, cut, sent.value)
+            on = place <= prefix_of(n)[owner]
+            owner = owner[on]
+            yield pa.RecordBatch.from_arrays([pa.array(flat[order[on]]), pa.array(rep[owner]), pa.array(root[owner]), pa.array(n[owner]), pa.array(n[owner] - place[on] + 1)], ["v", "rep", "root", "n", "b"])
+
+    listed = scratch.keep(held.select("rep", "root", "set").mapInArrow(run, "v long, rep long, root long, n long, b long"), "listed")
+    split = scratch.keep(_split(listed), "split")
+    pairs = scratch.keep(_pairs(split.where(F.col("every") <= SHORT).drop("every", "g"), _places_allow(F.col("n"), F.col("n2"), F.col("b"), F.col("b2"))), "hot-pairs")
+    return confirmed(pairs, sets).union(hot_links(split.where(F.col("every") > SHORT).select("v", "g", "rep", "root", "n"), sets)).distinct()
 
 
 def components(edges: DataFrame, scratch: common.Scratch, name: str) -> DataFrame:
@@ -229,30 +309,32 @@ def components(edges: DataFrame, scratch: common.Scratch, name: str) -> DataFram
     both = edges.select(F.col("a").alias("node"), F.col("b").alias("to")).union(edges.select("b", "a"))
     both = scratch.keep(both, f"{name}-both")
     labels = scratch.keep(both.groupBy("node").agg(F.least(F.min("to"), F.first("node")).alias("root")), f"{name}-0")
-    k = 0
+    ends, k = common.Salted(both, ["to"], ["node"]), 0
     while True:
         k += 1
-        near = both.join(labels.select(F.col("node").alias("to"), "root"), "to").groupBy("node").agg(F.min("root").alias("near"))
-        new = labels.join(near, "node").select("node", F.least("root", "near").alias("near"), F.col("root").alias("old"))
-        jump = new.join(labels.select(F.col("node").alias("near"), F.col("root").alias("far")), "near", "left")
+        near = ends.join(labels.select(F.col("node").alias("to"), "root")).groupBy("node").agg(F.min("root").alias("near"))
+        new = scratch.keep(labels.join(near, "node").select("node", F.least("root", "near").alias("near"), F.col("root").alias("old")), f"{name}-{k}-near")
+        jump = common.Salted(new, ["near"], ["node"]).join(labels.select(F.col("node").alias("near"), F.col("root").alias("far")), "left")
         new = scratch.keep(jump.select("node", F.least("near", "far").alias("root"), (F.least("near", "far") < F.col("old")).alias("moved")), f"{name}-{k}")
         changed = new.where("moved").limit(1).count()
         labels = new.drop("moved")
         scratch.drop(f"{name}-{k - 1}")
+        scratch.drop(f"{name}-{k}-near")
         if not changed:
             return labels
 
 
-def link(spark: SparkSession, docs: DataFrame, n: int = 5, report: dict | None = None) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each document."""
-    scratch = common.Scratch(spark, "near")
-    rows = scratch.keep(sketches(docs, n), "sketches")
+def link(spark: SparkSession, docs: DataFrame, n: int = 5, carry: str | None = None, scratch: common.Scratch | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for each document, and the long column carry."""
+    scratch = scratch or common.Scratch(spark, "near")
+    rows = scratch.keep(sketches(docs, n, carry), "sketches")
     known = rows.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     key = [F.col("one"), F.col("two"), F.col("n_shingles").alias("n")]
     classes = scratch.keep(known.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")), "classes")
     listed = scratch.keep(postings(spark, classes), "postings")
+    hot = common.Salted(listed, ["v"], ["rep"])
     shared = listed.groupBy("v").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("v")
-    active = scratch.keep(listed.join(shared, "v"), "active")
+    active = scratch.keep(hot.join(shared), "active")
     scratch.drop("postings")
 
     # 1: each list's members with PIVOTS of them: the smallest, and those of smallest hash
@@ -261,9 +343,9 @@ def link(spark: SparkSession, docs: DataFrame, n: int = 5, report: dict | None =
     picked = active.groupBy("v").agg(*(F.min_by(me, o).alias(f"p{k}") for k, o in enumerate(order)))
     pivots = picked.select("v", F.explode(F.array_distinct(F.array(*(f"p{k}" for k in range(PIVOTS))))).alias("p"))
     pivots = pivots.select("v", F.col("p.rep").alias("rep2"), *(F.col(f"p.{c}").alias(f"{c}2") for c in FACTS))
-    star = active.join(pivots, "v").where((F.col("rep") != F.col("rep2")) & _may_link(FACTS, FACTS2))
-    pair = [F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")]
-    star = scratch.keep(likely(classes, star.select(*pair).distinct()), "star")
+    star = hot.join(pivots, many=active).where((F.col("rep") != F.col("rep2")) & _may_link())
+    star = scratch.keep(star.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct(), "met")
+    star = scratch.keep(likely(classes, star), "star")
     sets = scratch.keep(full_sets(spark, docs, star.select("a").union(star.select("b")), n), "star-sets")
     links = scratch.keep(confirmed(star, sets), "star-links")
     scratch.drop("star-sets")
@@ -271,28 +353,20 @@ def link(spark: SparkSession, docs: DataFrame, n: int = 5, report: dict | None =
 
     # 2: of each list's members in different components, those pairs that are left
     placed = active.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    size = placed.groupBy("v", "root").count()
-    split = size.groupBy("v").agg(F.sum("count").alias("all"), F.count("*").alias("roots"), F.max_by("root", F.struct("count", "root")).alias("g")).where("roots > 1")
-    placed = scratch.keep(placed.join(split, "v"), "placed")
-    # short lists: each member's pairs are at most SHORT
-    short = placed.where(F.col("all") <= SHORT)
-    other = short.select("v", F.col("rep").alias("rep2"), *(F.col(c).alias(f"{c}2") for c in FACTS), F.col("root").alias("root2"))
-    rest = short.join(other, "v").where((F.col("root") < F.col("root2")) & _may_link(FACTS, FACTS2))
-    rest = scratch.keep(likely(classes, rest.select(*pair).distinct().join(star, ["a", "b"], "left_anti")), "rest")
-    # long lists: members and those of other components meet in blocks
-    groups = scratch.keep(placed.where(F.col("all") > SHORT).select("g", "rep", "root").distinct(), "groups")
-    needed = rest.select("a").union(rest.select("b")).union(groups.select("rep"))
-    sets = scratch.keep(full_sets(spark, docs, needed, n), "rest-sets")
-    more = scratch.keep(confirmed(rest, sets).union(hot_links(groups, sets)), "more")
-    if report is not None:
-        report |= {"classes": classes.count(), "active": active.count(), "star": star.count(), "links": links.count(), "placed": placed.count(), "rest": rest.count(), "groups": groups.count(), "hot": groups.select("g").distinct().count(), "queries": groups.where("g!=root").count(), "sets": sets.count(), "more": more.count()}
-    scratch.drop("rest-sets")
+    placed = scratch.keep(_split(placed, hot), "placed")
+    rest = scratch.keep(_pairs(placed.where(F.col("every") <= SHORT).drop("every", "g"), _may_link()).join(star, ["a", "b"], "left_anti"), "left")
+    rest = scratch.keep(likely(classes, rest), "rest")
+    members = scratch.keep(placed.where(F.col("every") > SHORT).select("rep", "root").distinct(), "members")
+    sets = scratch.keep(full_sets(spark, docs, rest.select("a").union(rest.select("b")).union(members.select("rep")), n), "rest-sets")
+    more = scratch.keep(confirmed(rest, sets).union(prefix_links(spark, members, sets, scratch)), "more")
+    scratch.drop("rest-sets", "held", "listed", "split", "hot-pairs", "active", "placed", "met", "left", "members")
     roots = components(links.union(more), scratch, "last")
 
-    rooted = classes.select("one", "two", "n", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("one", "two", "n", F.coalesce("root", "rep").alias("root"))
-    out = rows.drop("sketch").join(rooted.withColumnRenamed("n", "n_shingles"), ["one", "two", "n_shingles"], "left")
+    scratch.drop("first-both", "last-both")
+    rooted = classes.select("one", "two", F.col("n").alias("n_shingles"), "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("one", "two", "n_shingles", F.coalesce("root", "rep").alias("root"))
+    out = common.Salted(rows.drop("sketch"), ["one", "two", "n_shingles"], ["doc_id"]).join(rooted, "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"), *([carry] if carry else []))
 
 
 def op5_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -300,9 +374,25 @@ def op5_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, n: int = 5) -> DataFrame:
-    """The documents without those that have a near-duplicate of smaller doc_id in their component."""
-    dropped = link(spark, docs, n).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each component: that of the smallest doc_id (null last), or of the smallest hash among such.
+
+    A row with words is known by the hash of its doc_id and text; of rows equal in these one is left. Others all stay.
+    """
+    scratch = common.Scratch(spark, "one")
+    (key,) = common.free(docs.columns, "_key")
+    named = docs.withColumn(key, F.when(F.col("text").rlike(common.WORD), F.xxhash64("doc_id", "text")))
+    found = scratch.keep(link(spark, named.select(F.col(key).alias("doc_id"), "text", F.col("doc_id").cast("long").alias("name")), n, "name").where("component_id IS NOT NULL"), "linked")
+    by = F.struct(F.col("name").isNull(), "name", "doc_id")
+    first = found.groupBy("component_id").agg(F.min(by).alias("first"), F.count("*").alias("n")).where("n > 1").select("component_id", F.col("first.doc_id").alias("first"))
+    judged = common.Salted(found.select("component_id", "doc_id"), ["component_id"], ["doc_id"]).join(first)
+    dropped = scratch.keep(judged.where(F.col("doc_id") != F.col("first")).select(F.col("doc_id").alias(key)).distinct(), "dropped")
+    repeated = scratch.keep(found.groupBy(F.col("doc_id").alias(key)).agg(F.count("*").alias("n")).where("n > 1").select(key), "repeated")
+    if repeated.limit(1).count():
+        thin = common.once_each(named, key)
+        some, (k,) = thin.join(repeated, key, "left_semi"), common.free(named.columns, "_k")
+        some = some.withColumn(k, F.row_number().over(Window.partitionBy(key).orderBy(F.lit(0)))).where(F.col(k) == 1).drop(k)
+        named = thin.join(repeated, key, "left_anti").unionByName(some)
+    return named.join(dropped, key, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -235,7 +235,8 @@ def brute_near(rows, n):
 @pytest.mark.parametrize("n", [2, 5])
 def test_near_duplicates(spark, docs, n, monkeypatch):
     monkeypatch.setattr(minhash, "SHORT", 8)  # so that long lists' blocks are used too
-    monkeypatch.setattr(minhash, "BLOCK", 8)
+    monkeypatch.setattr(minhash, "BLOCK", 200)
+    monkeypatch.setattr(common.Salted, "LEAST", 3)
     got = minhash.link(spark, docs, n).collect()
     want = brute_near([(r.doc_id, r.text) for r in docs.collect()], n)
     assert len(got) == docs.count() and len(set(want.values())) < len(want) - 5
@@ -253,6 +254,54 @@ def test_near_duplicates_at_the_threshold(spark):
     assert got == {i: i - i % 2 for i in range(240)}
 
 
+def test_short_texts_that_share_a_pair(spark, monkeypatch):
+    """A word pair that all short texts have makes no list of them; and pairs just under and over the threshold."""
+    rng, rows = random.Random(6), []
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    for i in range(400):
+        rows.append((i, " ".join([word() for _ in range(5)] + ["sign", "up"] + [word() for _ in range(5)])))
+    for i in range(0, 40, 2):  # 11 shingles: one replaced at the end leaves 10 of 12, two leave 9 of 13
+        w = rows[i][1].split()
+        rows.append((1000 + i, " ".join([*w[:-1], word()])))
+        rows.append((2000 + i, " ".join([*w[:-2], word(), word()])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    seen = []
+    monkeypatch.setattr(minhash, "_split", lambda listed, hot=None, f=minhash._split: seen.append(listed.groupBy("v").count().agg(F.max("count")).first()[0]) or f(listed, hot))
+    got = {r.doc_id: r.component_id for r in minhash.link(spark, df, 2).collect()}
+    assert got == brute_near(rows, 2) and all(got[1000 + i] == i and got[2000 + i] != i for i in range(0, 40, 2))
+    assert seen[0] < 10
+
+
+def test_members_of_hot_lists(spark, monkeypatch):
+    """Texts with a common passage of over half their words, some of them copies with a few words changed."""
+    monkeypatch.setattr(minhash, "SHORT", 8)
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    passage, rows = [word() for _ in range(150)], []
+    for i in range(60):
+        w = [word() for _ in range(60)]
+        rows.append((3 * i, " ".join(w[:30] + passage + w[30:])))
+        if i % 3 == 0:
+            for k in range(4):
+                w[rng.randrange(60)] = word()
+            rows.append((3 * i + 1, " ".join(w[:30] + passage + w[30:])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in minhash.link(spark, df, 2).collect()}
+    assert got == brute_near(rows, 2) and len(set(got.values())) < len(got)
+
+
+def test_near_duplicates_as_a_stage(spark, monkeypatch):
+    """Rows, not ids, are nodes: null and repeated ids, copies of a row, and clashing columns."""
+    monkeypatch.setattr(common.Salted, "LEAST", 3)
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    rows = [(None, text(1), 1), (None, text(1), 2), (5, text(2), 3), (5, text(3), 4), (6, text(3) + " tail", 5), (4, text(1), 6), *[(9, text(4), 7)] * 40, (None, "", 8), (None, None, 9), (10, "", 10), (11, text(5), 11)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _key int").repartition(5)
+    out = minhash.keep_one(spark, df)
+    assert out.columns == df.columns
+    got = Counter((r.doc_id, r.text) for r in out.collect())
+    assert got == Counter([(4, text(1)), (5, text(2)), (5, text(3)), (9, text(4)), (None, ""), (None, None), (10, ""), (11, text(5))])
+
+
 def test_near_duplicates_of_nothing(spark, empty):
     assert minhash.link(spark, empty, 2).count() == 0
 
@@ -505,7 +554,7 @@ def test_pipeline(spark, tmp_path):
         if name != "sharding":
             assert docs.columns == [x.split()[0] for x in SCHEMA.split(", ")]
     roots = brute_near([(r.doc_id, r.text) for r in kept["toxicity"]], 5)
-    assert Counter(r.doc_id for r in kept["near_dedup"]) == Counter(r.doc_id for r in kept["toxicity"] if r.doc_id is None or roots[r.doc_id] == r.doc_id)
+    assert Counter(r.doc_id for r in kept["near_dedup"]) == Counter({r.doc_id for r in kept["toxicity"] if r.doc_id is None or roots[r.doc_id] == r.doc_id})
     assert {r.doc_id for r in kept["near_dedup"]} - {r.doc_id for r in kept["decontamination"]} == {500}
     assert max(Counter(r.doc_id for r in kept["mixing"]).values()) >= 2
     assert len(kept["sharding"]) == len(kept["mixing"]) == corpus_pipeline.run(spark, sf).count()

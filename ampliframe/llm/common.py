@@ -87,9 +87,11 @@ class Salted:
 
     LEAST, MOST = 256, 4096
 
-    def __init__(self, many: DataFrame, keys: list[str], by: list[str]):
+    def __init__(self, many: DataFrame, keys: list[str], by: list[str], counts: DataFrame | None = None):
+        """counts: keys and _rows, where these are known, of at least the keys that the other side has."""
         self.many, self.keys, self.by = many, keys, by
-        counts = many.groupBy(*keys).agg(F.count("*").alias("_rows"))
+        if counts is None:
+            counts = many.groupBy(*keys).agg(F.count("*").alias("_rows"))
         limit = max(self.LEAST, many.count() // self.MOST)
         hot = counts.where(F.col("_rows") > limit).select(*keys, F.ceil(F.col("_rows") / limit).cast("int").alias("_cuts"))
         rows = hot.take(self.MOST)

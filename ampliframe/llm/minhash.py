@@ -212,11 +212,12 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def group_links(table: pa.Table) -> pa.Table:
     """Links between the queries and the members of one block of a hot group, counted through the block's own inverted lists.
 
-    Columns: query (boolean), rep, root, set. A member is paired with queries of other roots; the work is that of the
-    values which they share.
+    Columns: query (boolean), rep, root, set. Of the links of two roots one is given, and none that others imply, so that
+    there are less of them than roots. The work is that of the values which members share.
     """
     query = table.column("query").to_numpy(zero_copy_only=False)
-    rep, root = table.column("rep").to_numpy(), table.column("root").to_numpy()
+    rep = table.column("rep").to_numpy()
+    root = np.unique(table.column("root").to_numpy(), return_inverse=True)[1]
     sets = table.column("set").combine_chunks()
     flat, cut = sets.flatten().to_numpy(), np.concatenate([[0], np.cumsum(sets.value_lengths().to_numpy())])
     base = np.flatnonzero(~query)
@@ -228,34 +229,37 @@ def group_links(table: pa.Table) -> pa.Table:
     first, owner = np.append(first, len(own)), owner[order]
     a, b = [], []
     for q in np.flatnonzero(query):
+        if not len(values) or (root[base] == root[q]).all():
+            continue
         mine = flat[cut[q] : cut[q + 1]]
-        if not len(values):
-            break
         k = np.minimum(np.searchsorted(values, mine), len(values) - 1)
         k = k[values[k] == mine]
         lo, many = first[k], first[k + 1] - first[k]
         at = np.repeat(lo - (np.cumsum(many) - many), many) + np.arange(many.sum())
         shared = np.bincount(owner[at], minlength=len(base))
         hit = base[linked(shared, len(mine), sizes) & (root[base] != root[q])]
-        a.extend(np.minimum(rep[hit], rep[q]).tolist())
-        b.extend(np.maximum(rep[hit], rep[q]).tolist())
+        for h in hit:
+            if root[h] != root[q]:
+                a.append(min(int(rep[h]), int(rep[q])))
+                b.append(max(int(rep[h]), int(rep[q])))
+                root[root == root[h]] = root[q]
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
 def hot_links(groups: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (a, b) between members of different roots in groups (v, g, rep, root, n), without making pairs into rows.
+    """Links (a, b) between members of different roots in groups (g, rep, root, n), without making pairs into rows.
 
     A group is dealt in blocks of about BLOCK values of members by about QUERIES values of those outside its main root g.
     """
     outside = F.sum(F.when(F.col("root") != F.col("g"), F.col("n")).otherwise(0))
-    size = groups.groupBy("v").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"), F.ceil((outside + 1) / QUERIES).cast("int").alias("cuts"))
-    all_rows = groups.join(size, "v")
+    size = groups.groupBy("g").agg(F.count("*").alias("_rows"), F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"), F.ceil((outside + 1) / QUERIES).cast("int").alias("cuts"))
+    all_rows = common.Salted(groups, ["g"], ["rep"], size.select("g", "_rows")).join(size.drop("_rows"))
     block, cut = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"), F.pmod(F.xxhash64("rep", F.lit(1)), F.col("cuts")).cast("int")
     members = all_rows.withColumn("block", block).withColumn("cut", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).withColumn("query", F.lit(False))
     queries = all_rows.where("root != g").withColumn("cut", cut).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("query", F.lit(True))
-    cols = ["v", "block", "cut", "query", "rep", "root"]
+    cols = ["g", "block", "cut", "query", "rep", "root"]
     dealt = members.select(cols).union(queries.select(cols)).join(sets.withColumnRenamed("doc_id", "rep"), "rep")
-    return dealt.groupBy("v", "block", "cut").applyInArrow(group_links, "a long, b long").distinct()
+    return dealt.groupBy("g", "block", "cut").applyInArrow(group_links, "a long, b long").distinct()
 
 
 def _split(listed: DataFrame, hot: common.Salted | None = None) -> DataFrame:
@@ -298,7 +302,9 @@ def prefix_links(spark: SparkSession, members: DataFrame, sets: DataFrame, scrat
     listed = scratch.keep(held.select("rep", "root", "set").mapInArrow(run, "v long, rep long, root long, n long, b long"), "listed")
     split = scratch.keep(_split(listed), "split")
     pairs = scratch.keep(_pairs(split.where(F.col("every") <= SHORT).drop("every", "g"), _places_allow(F.col("n"), F.col("n2"), F.col("b"), F.col("b2"))), "hot-pairs")
-    return confirmed(pairs, sets).union(hot_links(split.where(F.col("every") > SHORT).select("v", "g", "rep", "root", "n"), sets)).distinct()
+    # long lists of one main root are mostly of the same members: one group
+    groups = scratch.keep(split.where(F.col("every") > SHORT).select("g", "rep", "root", "n").distinct(), "groups")
+    return confirmed(pairs, sets).union(hot_links(groups, sets)).distinct()
 
 
 def components(edges: DataFrame, scratch: common.Scratch, name: str) -> DataFrame:
@@ -330,11 +336,12 @@ def link(spark: SparkSession, docs: DataFrame, n: int = 5, carry: str | None = N
     rows = scratch.keep(sketches(docs, n, carry), "sketches")
     known = rows.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     key = [F.col("one"), F.col("two"), F.col("n_shingles").alias("n")]
-    classes = scratch.keep(known.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")), "classes")
+    classes = scratch.keep(known.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"), F.count("*").alias("_rows")), "classes")
     listed = scratch.keep(postings(spark, classes), "postings")
-    hot = common.Salted(listed, ["v"], ["rep"])
-    shared = listed.groupBy("v").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("v")
-    active = scratch.keep(hot.join(shared), "active")
+    shared = listed.groupBy("v").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count("*").alias("_rows")).where("lo < hi")
+    shared = scratch.keep(shared.select("v", "_rows"), "shared")
+    hot = common.Salted(listed, ["v"], ["rep"], shared)
+    active = scratch.keep(hot.join(shared.select("v")), "active")
     scratch.drop("postings")
 
     # 1: each list's members with PIVOTS of them: the smallest, and those of smallest hash
@@ -359,12 +366,13 @@ def link(spark: SparkSession, docs: DataFrame, n: int = 5, carry: str | None = N
     members = scratch.keep(placed.where(F.col("every") > SHORT).select("rep", "root").distinct(), "members")
     sets = scratch.keep(full_sets(spark, docs, rest.select("a").union(rest.select("b")).union(members.select("rep")), n), "rest-sets")
     more = scratch.keep(confirmed(rest, sets).union(prefix_links(spark, members, sets, scratch)), "more")
-    scratch.drop("rest-sets", "held", "listed", "split", "hot-pairs", "active", "placed", "met", "left", "members")
+    scratch.drop("rest-sets", "held", "listed", "split", "hot-pairs", "groups", "active", "placed", "met", "left", "members")
     roots = components(links.union(more), scratch, "last")
 
     scratch.drop("first-both", "last-both")
     rooted = classes.select("one", "two", F.col("n").alias("n_shingles"), "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("one", "two", "n_shingles", F.coalesce("root", "rep").alias("root"))
-    out = common.Salted(rows.drop("sketch"), ["one", "two", "n_shingles"], ["doc_id"]).join(rooted, "left")
+    rows = rows.drop("sketch")
+    out = common.Salted(rows, ["one", "two", "n_shingles"], ["doc_id"], classes.select("one", "two", F.col("n").alias("n_shingles"), "_rows")).join(rooted, "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"), *([carry] if carry else []))
 

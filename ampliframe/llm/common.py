@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -108,6 +108,31 @@ class Salted:
         return left.join(right, [*self.keys, "_salt"], how).drop("_salt")
 
 
+def row_of(columns: list[str]) -> Column:
+    """All columns as one struct: beside it, names of an operator's own can't clash with them."""
+    return F.struct(*(F.col(f"`{c}`") for c in columns))
+
+
+def unpacked(row: str, columns: list[str]) -> list[Column]:
+    """The columns of a struct made by row_of."""
+    return [F.col(f"{row}.`{c}`").alias(c) for c in columns]
+
+
+def ranked(spark: SparkSession, rows: DataFrame, order: list[str], scratch: Scratch, name: str) -> tuple[DataFrame, int]:
+    """rows with rank, their place from 0 in the order, and how many they are.
+
+    One shuffle by ranges; a row's rank is its place in its slice and the rows of the slices before. Only the slices' counts
+    come to the driver.
+    """
+    sliced = rows.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
+    placed = scratch.keep(sliced.withColumns({"_slice": F.spark_partition_id(), "_place": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}), name)
+    before, total = {}, 0
+    for part, n in sorted(placed.groupBy("_slice").count().collect()):  # one row for each slice
+        before[part], total = total, total + n
+    starts = spark.createDataFrame(list(before.items()) or [(0, 0)], "_slice int, _before long")  # the same
+    return placed.join(F.broadcast(starts), "_slice").withColumn("rank", F.col("_before") + F.col("_place")).drop("_slice", "_place", "_before"), total
+
+
 def once_each(rows: DataFrame, key: str) -> DataFrame:
     """rows without those whose long key a row before has in the same partition: what is left of a key, however many rows
     it has, is a row for each partition. Rows without a key all stay."""

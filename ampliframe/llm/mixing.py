@@ -7,12 +7,19 @@ Thresholds of larger budgets lie above those of smaller ones, so mixes are neste
 
 A target above the source's size takes every document once and those below the threshold twice.
 
-Defined cases: a null text has size 0 and takes 0; a null source is a source of its own, the last; null ids hash with
-their text; repeated rows share a hash and are taken together; an empty table gives an empty result.
+Sources are ranked by slices of their order, and the level at which capping stops is found by sums over all of them, so
+that there may be as many sources as documents.
+
+Defined cases: a null or empty text has size 0 and takes 0; a text of any length is counted whole; a null source is a source
+of its own, the last; null ids hash with their text; rows of equal doc_id share a hash and are taken together, as do ties of
+the hash; an empty table gives an empty result; other columns are carried along, whatever their names, but the names that
+this operator adds (size, source_size, target, taken) replace columns of the same name.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,28 +33,27 @@ LEVELS = 4
 SOURCES = 100_000
 
 
-def targets(sizes: DataFrame) -> DataFrame:
+def targets(spark: SparkSession, sizes: DataFrame, scratch: common.Scratch) -> DataFrame:
     """source, source_size, target from one row for each source: shares by weight, capped at MOST times the size.
 
-    The excess of capped sources goes to the others by weight until none is above. Sorted by size over weight, the
-    capped sources come first, so the level where capping stops is found by running sums in one pass.
+    The excess of capped sources goes to the others by weight until none is above: the share of a unit of weight rises with
+    each round of sums over all sources, until no more are capped by it.
     """
-    # Sources are few; they are numbered in order of code points, which is the order of their UTF-8 bytes.
-    ranked = sizes.withColumn("_rank", F.row_number().over(Window.orderBy(F.col("source").isNull(), F.encode("source", "UTF-8"))) - 1)
-    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.pmod("_rank", F.lit(len(WEIGHTS))) + 1).cast("int"))
-    r = ranked.withColumn("_w", weight).withColumn("_cap", MOST * F.col("source_size"))
-    every = Window.partitionBy()
-    run = Window.orderBy(F.col("_cap") / F.col("_w"), "_rank").rowsBetween(Window.unboundedPreceding, -1)
-    r = r.withColumns({
-        "_all": SHARE * F.sum("source_size").over(every), "_weights": F.sum("_w").over(every),
-        "_capped": F.coalesce(F.sum("_cap").over(run), F.lit(0.0)), "_gone": F.coalesce(F.sum("_w").over(run), F.lit(0.0)),
-    })
-    level = (F.col("_all") - F.col("_capped")) / (F.col("_weights") - F.col("_gone"))
-    r = r.withColumn("_level", level).withColumn("_over", F.col("_cap") / F.col("_w") < F.col("_level"))
-    # the level rises with each source that is rightly capped and falls after
-    stop = F.max(F.when(~F.col("_over"), F.col("_level"))).over(every)
-    r = r.withColumn("_stop", stop)
-    return r.select("source", "source_size", F.when(F.col("_over"), F.col("_cap")).otherwise(F.least(F.col("_cap"), F.col("_stop") * F.col("_w"))).alias("target"))
+    # order by UTF-8 bytes is the order of code points
+    keyed = sizes.select("source", "source_size", F.col("source").isNull().alias("last"), F.encode("source", "UTF-8").alias("bytes"))
+    rows, _ = common.ranked(spark, keyed, ["last", "bytes"], scratch, "sources")
+    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.pmod("rank", F.lit(len(WEIGHTS))) + 1).cast("int"))
+    rows = scratch.keep(rows.select("source", "source_size", weight.alias("w"), (MOST * F.col("source_size")).alias("cap")), "weights")
+    level, over = None, F.lit(False)
+    while True:
+        every, capped, open_ = rows.agg(
+            F.sum("source_size"), F.coalesce(F.sum(F.when(over, F.col("cap"))), F.lit(0.0)), F.coalesce(F.sum(F.when(~over, F.col("w"))), F.lit(0.0))
+        ).first()
+        new = (SHARE * (every or 0) - capped) / open_ if open_ else math.inf
+        if new == level or not open_:
+            break
+        level, over = new, F.col("cap") < F.col("w") * F.lit(new)
+    return rows.select("source", "source_size", F.least("cap", F.col("w") * F.lit(float(new))).alias("target"))
 
 
 def _digit(level: int) -> Column:
@@ -59,30 +65,41 @@ def _prefix(level: int) -> Column:
     return F.shiftrightunsigned("_hash", BITS * (LEVELS - level)) if level else F.lit(0).cast("long")
 
 
-def mix(spark: SparkSession, docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """docs (or of it the columns keep) with size, source_size, target, taken."""
-    added = ("size", "source_size", "target", "taken")
+def _key(source: str) -> Column:
+    """A source as a name that is never null."""
+    return F.coalesce(F.concat(F.lit("s"), source), F.lit("null"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, keep: list[str] | None = None, repeated: bool = False) -> DataFrame:
+    """docs (or of it the columns keep) with size, source_size, target, taken; or, repeated, as often as the mix takes them."""
+    added = () if repeated else ("size", "source_size", "target", "taken")
     keep = [c for c in (docs.columns if keep is None else keep) if c not in added]
     scratch = common.Scratch(spark, "mix")
     sized = docs.select(
-        *keep,
+        common.row_of(keep).alias("row"),
         F.col("source").alias("_source"),
+        _key("source").alias("_s"),
         common.n_words().alias("size"),
         F.conv(F.substring(F.md5(F.coalesce(F.concat(F.lit("id"), F.col("doc_id").cast("string")), "text", F.lit(""))), 1, 12), 16, 10).cast("long").alias("_hash"),
     )
+    columns = ["_source", "_s", "size", "_hash"]
     if "text" in keep:  # counting words again costs less than a copy of the texts
-        narrow = scratch.keep(sized.select("_source", "size", "_hash"), "sized")
+        narrow = scratch.keep(sized.select(columns), "sized")
     else:
         sized = scratch.keep(sized, "sized")
-        narrow = sized.select("_source", "size", "_hash")
-    goals = scratch.keep(targets(narrow.groupBy(F.col("_source").alias("source")).agg(F.sum("size").alias("source_size"))), "targets")
+        narrow = sized.select(columns)
+    sizes = narrow.groupBy(F.col("_source").alias("source")).agg(F.sum("size").alias("source_size"))
+    goals = scratch.keep(targets(spark, sizes, scratch).withColumn("_s", _key("source")), "targets")
+    # few sources: then documents need no shuffle; else hot ones are dealt over several tasks
+    hot = common.Salted(narrow, ["_s"], ["_hash"]) if goals.count() > SOURCES else None
+    meet = lambda many, few: hot.join(few, many=many) if hot else many.join(F.broadcast(few), "_s")
     # _budget: words still wanted below the threshold; _at: the boundary's digits so far
     budget = F.when(F.col("target") > F.col("source_size"), F.col("target") - F.col("source_size")).otherwise(F.col("target"))
-    edge = goals.select(F.col("source").alias("_s"), budget.alias("_budget"), F.lit(0).cast("long").alias("_at"))
+    edge = goals.select("_s", budget.alias("_budget"), F.lit(0).cast("long").alias("_at"))
     for level in range(LEVELS):
-        same = F.col("_source").eqNullSafe(F.col("_s")) & (_prefix(level) == F.col("_at"))
-        sums = narrow.join(edge, same).groupBy("_s", "_budget", "_at", _digit(level).alias("_d")).agg(F.sum("size").alias("_n"))
-        run = Window.partitionBy("_s").orderBy("_d")
+        inside = meet(narrow.drop("_source"), edge).where(_prefix(level) == F.col("_at"))
+        sums = inside.groupBy("_s", "_budget", "_at", _digit(level).alias("_d")).agg(F.sum("size").alias("_n"))
+        run = Window.partitionBy("_s").orderBy("_d")  # 2 ** BITS rows of a source at most
         sums = sums.withColumn("_to", F.sum("_n").over(run))
         under = F.col("_to") <= F.col("_budget")
         step = sums.groupBy("_s", "_budget", "_at").agg(
@@ -92,28 +109,26 @@ def mix(spark: SparkSession, docs: DataFrame, keep: list[str] | None = None) ->
         )
         last = level == LEVELS - 1  # the last bucket, nearly always one document, goes to the nearer side
         up = F.when(F.lit(last) & (F.col("_with") - F.col("_budget") < F.col("_budget") - F.col("_below")), 1).otherwise(0)
-        step = step.select(F.col("_s").alias("_t"), (F.col("_budget") - F.col("_below")).alias("_left"), (F.col("_at") * (1 << BITS) + F.col("_d") + up).alias("_to"))
+        step = step.select("_s", (F.col("_budget") - F.col("_below")).alias("_left"), (F.col("_at") * (1 << BITS) + F.col("_d") + up).alias("_next"))
         # a source that is below its budget as a whole has no boundary bucket: its threshold stays above all hashes
-        edge = edge.join(step, F.col("_s").eqNullSafe(F.col("_t")), "left").select("_s", F.coalesce("_left", "_budget").alias("_budget"), F.coalesce("_to", F.col("_at") * (1 << BITS)).alias("_at"))
+        edge = edge.join(step, "_s", "left").select("_s", F.coalesce("_left", "_budget").alias("_budget"), F.coalesce("_next", F.col("_at") * (1 << BITS)).alias("_at"))
         edge = scratch.keep(edge, f"edge{level}")
-    found = goals.join(edge.select("_s", F.col("_at").alias("_threshold")), F.col("source").eqNullSafe(F.col("_s")), "left")
-    found = found.select(F.col("source").alias("_s"), "source_size", "target", F.coalesce("_threshold", F.lit(0)).alias("_threshold"))
-    if goals.count() <= SOURCES:  # few sources: then documents need no shuffle, which would bring a hot one to few tasks
-        found = F.broadcast(found)
+    found = goals.drop("source").join(edge.select("_s", F.col("_at").alias("_threshold")), "_s", "left").withColumn("_threshold", F.coalesce("_threshold", F.lit(0)))
     below = _prefix(LEVELS) < F.col("_threshold")
     copies = F.when(F.col("target") > F.col("source_size"), F.when(below, 2).otherwise(1)).otherwise(F.when(below, 1).otherwise(0))
-    out = sized.join(found, F.col("_source").eqNullSafe(F.col("_s")))
-    return out.select(*keep, "size", "source_size", "target", (copies * F.col("size")).cast("long").alias("taken"), copies.cast("int").alias("_copies"))
+    out = meet(sized, found).select("row", "size", "source_size", "target", copies.cast("int").alias("copies"))
+    if repeated:
+        return out.withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select(*common.unpacked("row", keep))
+    return out.select(*common.unpacked("row", keep), "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(spark, common.table(spark, sf_dir, "documents"), keep=["doc_id"]).drop("_copies")
+    return mix(spark, common.table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
-    mixed = mix(spark, docs)
-    return mixed.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_copies")))).select(*docs.columns)
+    return mix(spark, docs, repeated=True)
 
 
 #: The same by sorting: whole budgets by running sums in order of the hash, the boundary to the nearer side.

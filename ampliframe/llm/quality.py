@@ -4,7 +4,9 @@ METRICS names the measures of a text; RULES bounds them. Both are expressions ov
 is read, with no shuffle; rules can be changed or added as data.
 
 Defined cases: a null text is an empty one; an empty text has no words and fails the base; ratios with an empty
-denominator are 0; texts of any length are judged whole, repeated windows being found by sorting their hashes.
+denominator are 0; texts of any length are judged whole, repeated windows being found by sorting their hashes; each row
+is judged for itself, so repeated rows, ties and null or equal doc_id change nothing; an empty table gives an empty result;
+other columns are carried along, whatever their names, but those that this operator adds replace columns of the same name.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ def _base(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     words = F.filter(F.split(text, common.BLANK), lambda w: w != "")
     lines = F.filter(F.split(text, "\n"), lambda x: F.translate(x, BLANKS, "") != "")
-    return docs.withColumns({"_text": text, "_w": words, "_l": lines}).withColumns({
+    return docs.select(common.row_of(docs.columns).alias("row"), text.alias("_text"), words.alias("_w"), lines.alias("_l")).withColumns({
         "n_words": F.size("_w").cast("long"),
         "word_chars": F.length(F.translate("_text", BLANKS, "")).cast("long"),
         "n_symbols": (F.length("_text") - F.length(F.translate("_text", SYMBOLS, ""))).cast("long"),
@@ -65,7 +67,7 @@ def _repeat_words() -> Column:
 
 def measure(docs: DataFrame) -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and the measures that RULES names."""
-    d = _base(docs.drop("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")).withColumn("n_repeat_words", _repeat_words())
+    d = _base(docs).withColumn("n_repeat_words", _repeat_words())
     ratio = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))
     d = d.withColumns({
         "mean_word_length": ratio("word_chars", "n_words"), "symbol_ratio": ratio("n_symbols", "word_chars"),
@@ -73,7 +75,8 @@ def measure(docs: DataFrame) -> DataFrame:
         "stop_word_ratio": F.when(F.col("n_words") > 0, (F.col("_stops") + 1) / F.col("n_words")).otherwise(F.lit(0.0)),
         "same_word_ratio": ratio("_same", "n_words"), "dup_line_ratio": ratio("n_dup_lines", "_lines"),
     })
-    return d.drop("_text", "_w", "_l", "_h", "_lines", "_stops", "_same")
+    added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "mean_word_length", "symbol_ratio", "stop_word_ratio", "same_word_ratio", "dup_line_ratio"]
+    return d.select(*common.unpacked("row", [c for c in docs.columns if c not in added]), *added)
 
 
 def verdict(rules=RULES) -> Column:

@@ -4,10 +4,14 @@ Several metadata dimensions (source, lang and the text's size) are quantised to
 the curve index of their cell, and the sorted run is cut into shards whose row counts are at most one apart. Rows that
 are near in all dimensions share a shard, so a reader who filters on any of them opens few files.
 
+write_shards puts each shard into a folder of its own, from rows that lie in curve order already; a reader that filters on a
+dimension opens the files whose footers' bounds allow it.
+
 Defined cases: null metadata fall into cell 0 of their dimension; a null text has size 16 and CRC 0; ties on the curve
 are ordered by doc_id (null first), then size and CRC, and rows equal in these may take either of their slots; an empty
-table gives an empty result; columns other than those named are carried along, but the names this operator adds
-(size, text_crc32, law, shard, slot, grown_shard) replace columns of the same name.
+table gives an empty result; a text of any length counts whole; columns other than those named are carried along, whatever
+their names, but the names this operator adds (size, text_crc32, law, shard, slot, grown_shard) replace columns of the same
+name.
 """
 
 from __future__ import annotations
@@ -77,32 +81,25 @@ def shard(spark: SparkSession, docs: DataFrame, shards: int = SHARDS, keep: list
     keep = [c for c in (docs.columns if keep is None else keep) if c not in added]
     scratch = common.Scratch(spark, "shards")
     rows = docs.select(
-        *keep,
+        common.row_of(keep).alias("row"),
         (F.coalesce(F.octet_length("text"), F.lit(0)) + OVERHEAD).cast("long").alias("size"),
         F.coalesce(F.crc32(F.encode("text", "UTF-8")), F.lit(0)).cast("long").alias("text_crc32"),
-        curve_index(*quantised(docs)).alias("_curve"),
-        F.col("doc_id").alias("_id"),
+        curve_index(*quantised(docs)).alias("curve"),
+        F.col("doc_id").alias("id"),
     )
-    order = ["_curve", "_id", "size", "text_crc32"]
-    sliced = rows.repartitionByRange(common.partitions(spark), *order).sortWithinPartitions(*order)
-    placed = sliced.withColumns({"_slice": F.spark_partition_id(), "_row": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)})
-    placed = scratch.keep(placed.drop("_curve", "_id"), "placed")
-    before, total = {}, 0
-    for part, n in sorted(placed.groupBy("_slice").count().collect()):  # one row for each partition, not for each row
-        before[part], total = total, total + n
-    # a row for each partition, so that sending it to all tasks is bounded
-    starts = spark.createDataFrame(list(before.items()) or [(0, 0)], "_slice int, _before long")
+    placed, total = common.ranked(spark, rows, ["curve", "id", "size", "text_crc32"], scratch, "placed")
     small, extra = divmod(total, shards)
-    rank = F.col("_before") + F.col("_row")
+    rank = F.col("rank")
     head = F.lit(extra * (small + 1))
     part = F.when(rank < head, F.floor(rank / (small + 1))).otherwise(extra + F.floor((rank - head) / max(small, 1)))
     slot = F.when(rank < head, rank % (small + 1)).otherwise((rank - head) % max(small, 1))
-    return placed.join(F.broadcast(starts), "_slice").select(*keep, "size", "text_crc32", F.lit("rows").alias("law"), part.cast("int").alias("shard"), slot.cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    return placed.select(*common.unpacked("row", keep), "size", "text_crc32", F.lit("rows").alias("law"), part.cast("int").alias("shard"), slot.cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
-    """One folder of Parquet for each shard, rows in slot order; a hot shard is no concern as counts are level."""
-    sharded.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    """A folder of Parquet for each shard. The rows of shard() lie in slices of the curve, so that each task writes the few
+    shards that its slice meets: no shuffle, and no task that holds a whole shard."""
+    sharded.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
 def op4_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -537,6 +537,58 @@ def test_mixing(spark, docs, empty):
     assert mixing.mix(spark, empty).count() == 0
 
 
+def test_mixing_many_sources(spark, docs, monkeypatch):
+    """The way beyond SOURCES gives the same rows, and a source for each document is ranked in slices."""
+    want = Counter((r.doc_id, r.target, r.taken) for r in mixing.mix(spark, docs).collect())
+    monkeypatch.setattr(mixing, "SOURCES", 0)
+    monkeypatch.setattr(common.Salted, "LEAST", 10)
+    assert Counter((r.doc_id, r.target, r.taken) for r in mixing.mix(spark, docs).collect()) == want
+    many = spark.createDataFrame([(i, "w " * (1 + i % 50), f"s{i:04}") for i in range(500)], "doc_id long, text string, source string").repartition(5)
+    got = {r.doc_id: r for r in mixing.mix(spark, many).collect()}
+    assert sum(r.target for r in got.values()) == pytest.approx(1.5 * sum(r.size for r in got.values())) and all(r.target <= 2 * r.size for r in got.values())
+    free = [got[i].target / mixing.WEIGHTS[i % 3] for i in range(500) if got[i].target < 2 * got[i].size]
+    assert max(free) == pytest.approx(min(free))
+
+
+def test_clashing_columns(spark, docs):
+    """Columns that are named as an operator's own, in any case, go through stages and operators as they are."""
+    names = ["_id", "_curve", "_hash", "_s", "_slice", "_key", "_text", "_w", "row", "rank", "copies", "copy", "ID", "score"]
+    wide = docs.select("*", *(F.concat(F.lit(f"{n}!"), F.col("doc_id").cast("string")).alias(n) for n in names))
+    bench, labels = spark.createDataFrame([(1, "q1 q2 q3 q4 q5 q6 q7")], "item_id long, text string"), spark.createDataFrame([(i, 1, i % 2) for i in range(50)], "doc_id long, quality int, toxic int")
+    outs = {
+        "line_dedup": line_dedup.dedup(spark, wide), "near": minhash.keep_one(spark, wide), "decontam": decontam.clean(spark, wide, bench),
+        "mixing": mixing.stage(spark, wide, ""), "sharding": sharding.shard(spark, wide), "quality": quality.judge(wide), "mix": mixing.mix(spark, wide),
+        "toxicity": toxicity.score(wide.drop("score"), toxicity.fit(spark, wide, labels)),
+    }
+    for name, out in outs.items():
+        own = [n for n in names if n != "score" or name != "toxicity"]
+        assert set(own) <= set(out.columns) and len(set(out.columns)) == len(out.columns), name
+        rows = out.collect()
+        assert rows and all(r[n] == (None if r.doc_id is None else f"{n}!{r.doc_id}") for r in rows for n in own), name
+
+
+def test_shards_prune(spark, tmp_path):
+    """A filter on two dimensions opens a few of the curve's files, and most of those that rows at random would fill."""
+    import pyarrow.dataset as ds
+
+    rng = random.Random(4)
+    df = spark.createDataFrame([(i, "x" * rng.choice([9, 90, 900]), rng.choice(["en", "de", "fr", "es"]), f"s{rng.randrange(12):02}", 1) for i in range(6000)], SCHEMA).repartition(8)
+    sharding.write_shards(sharding.shard(spark, df, shards=40), str(tmp_path / "curve"))
+    df.repartition(40, F.rand(1)).write.parquet(str(tmp_path / "random"))
+    opened = {}
+    for name in ("curve", "random"):
+        files = list(ds.dataset(str(tmp_path / name)).get_fragments())
+        assert sum(f.count_rows() for f in files) == 6000
+        hits = 0
+        for lang, source in (("en", "s03"), ("fr", "s07"), ("es", "s11")):
+            for f in files:
+                for g in f.row_groups:
+                    s = g.statistics
+                    hits += s["lang"]["min"] <= lang <= s["lang"]["max"] and s["source"]["min"] <= source <= s["source"]["max"]
+        opened[name] = hits / 3 / len(files)
+    assert opened["curve"] < 0.3 < 0.9 < opened["random"]
+
+
 def test_pipeline(spark, tmp_path):
     rows = corpus(80)
     bench = " ".join(f"q{i}" for i in range(30))

@@ -1,7 +1,6 @@
 """Operator 7, benchmark decontamination by greedy string tiling.
 
-Words are runs of letters and digits, of any script, of the lower-cased text. Seeds are runs of MATCH words (an item with fewer
-words is one seed) whose rolling Karp-Rabin hashes are equal in a document and in a benchmark item. For a document and an
+Words are runs of letters and digits, of any script, of the lower-cased text. Seeds are runs of MATCH words whose rolling Karp-Rabin hashes are equal in a document and in a benchmark item. For a document and an
 item that share seeds, the longest common run without marked words is marked in both, again and again, until no run of
 MATCH unmarked words is left. The marked share of the item's words is its coverage; order plays no part, so passages
 that were cut up and moved are caught. At LEAST coverage the document is contaminated.
@@ -10,8 +9,13 @@ The benchmark is the side that is held in memory: it is read in blocks of BLOCK_
 sent to the executors and all documents are read against it. A block has a fixed bound whatever the benchmark's size, and
 documents are never shuffled.
 
+An item of fewer words than MATCH is no evidence of a copy (an item "yes" would condemn every text with the word): it matches
+nothing.
+
 Defined cases: null or empty documents and items match nothing; equal items each get their row; a passage that a document
-repeats counts once; an empty benchmark finds nothing; rows with equal doc_id are judged each.
+repeats counts once; ties among longest matches go to the first in the document, then in the item; an empty benchmark or
+table finds nothing; rows with equal or null doc_id are judged each; a text of any length is compared whole; other columns
+are carried along by clean, whatever their names.
 """
 
 from __future__ import annotations
@@ -78,16 +82,13 @@ class Index:
         _, _, h, cut = common.word_rows(b"\n".join(t for _, t in items), at, common.ALNUM)
         self.ids, self.sizes = [x for x, _ in items], np.diff(cut)
         self.seeds: list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
-        for n in range(1, MATCH + 1):
-            place = runs_within(cut, n, len(h))
-            owner = np.searchsorted(cut, place, "right") - 1
-            mine = self.sizes[owner] >= n if n == MATCH else self.sizes[owner] == n
-            place, owner = place[mine], owner[mine]
-            if len(place):
-                key = rolling(h, n)[place]
-                order = np.argsort(key, kind="stable")
-                distinct, first = np.unique(key[order], return_index=True)
-                self.seeds.append((n, distinct, np.append(first, len(order)), owner[order], (place - cut[owner])[order]))
+        n, place = MATCH, runs_within(cut, MATCH, len(h))
+        owner = np.searchsorted(cut, place, "right") - 1
+        if len(place):
+            key = rolling(h, n)[place]
+            order = np.argsort(key, kind="stable")
+            distinct, first = np.unique(key[order], return_index=True)
+            self.seeds.append((n, distinct, np.append(first, len(order)), owner[order], (place - cut[owner])[order]))
 
     def matches(self, buf: bytes, at: np.ndarray, least: float) -> Iterator[tuple[int, int, int, int, int]]:
         """(text, item, item's words, covered words, tiles) at least coverage."""

@@ -14,11 +14,13 @@ frames before and of the documents before it. Each task writes one file under a
 result; a repeated task writes another file and the first is never listed, so lost executors do no harm.
 
 Defined cases: a null text has the end id only; rows with equal doc_id are ordered by text and keep an entry each; a null
-doc_id is stored as the smallest long and given back as null; an empty table gives no file and an empty result.
+doc_id is stored as the smallest long and given back as null; an empty table gives no file and an empty result; a text of any
+length is encoded whole, in memory of its own size; other columns are left out.
 """
 
 from __future__ import annotations
 
+import json
 import struct
 import uuid
 import zlib
@@ -143,12 +145,27 @@ KINDS = _kinds()
 LATIN_END, DOTTED_I = "\u0250", "\u0130"
 
 
+#: The normaliser and the pre-tokenizer whose pieces are independent; fixed values of the tokenizer's file format.
+NORMAL = ["NFC", "Replace", "Lowercase"]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def splits_words(tokenizer) -> bool:
+    """Whether a tokenizer has that normaliser and pre-tokenizer."""
+    made = json.loads(tokenizer.to_str())
+    normal, split = made.get("normalizer") or {}, (made.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    patterns = [(x.get("pattern") or {}).get("Regex") for x in split]
+    kinds = [x.get("type") for x in normal.get("normalizers", [])]
+    return kinds == NORMAL and patterns == [SPLIT, None] and [x.get("type") for x in split] == ["Split", "ByteLevel"] and not made.get("post_processor")
+
+
 class WordEncoder:
     """Encodes texts piece by piece and remembers pieces.
 
     White space and a border of an ASCII letter and another ASCII character (but an apostrophe) end a pre-token, and the
     normaliser looks at no context across them, so that a text's ids are those of its pieces. Words of plain Latin
-    letters are one pre-token and go to the tokenizer's model directly; all others through the whole tokenizer.
+    letters are one pre-token and go to the tokenizer's model directly; all others through the whole tokenizer. That holds
+    for the normaliser and the pre-tokenizer named in NORMAL and SPLIT alone, which is checked: texts go whole through others.
     """
 
     def __init__(self, path: str):
@@ -156,7 +173,7 @@ class WordEncoder:
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
+        self.model, self.by_words = self.tokenizer.model, splits_words(self.tokenizer)
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.old: dict[int, np.ndarray] = {}
         self.young: dict[int, np.ndarray] = {}
@@ -197,7 +214,7 @@ class WordEncoder:
 
     def encode(self, buf: bytes, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts of a run, each with END_ID, and where each text's ids begin."""
-        if any(x in buf for x in self.special):  # a special token's string is found before words are, and with its case
+        if not self.by_words or any(x in buf for x in self.special):  # a special token's string is found before words are, and with its case
             texts = [buf[at[i] : at[i + 1] - 1].decode("utf-8", "surrogatepass") for i in range(len(at) - 1)]
             found = [np.array([*x.ids, END_ID], np.uint32) for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
             return np.concatenate(found), np.concatenate([[0], np.cumsum([len(x) for x in found])])

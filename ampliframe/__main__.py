@@ -115,7 +115,7 @@ def run(spark: SparkSession, given: list[str]) -> None:
         _table(found.orderBy("row", "primer"), a.output)
     elif a.command == "visualise-bedfile":
         record = fasta.lookup(fasta.read(spark, a.ref_path, aligned=False), a.ref_id).select(F.col("name").alias("chrom"), "row", "seq")
-        gc = A.gc_bins(A.per_column(A.histogram(design.cells(record.withColumnRenamed("chrom", "msa"))), record))
+        gc = A.gc_bins(A.per_column(record))
         primers = bed.read_primers(spark, a.bedfile).where(F.col("chrom") == a.ref_id).orderBy("start", "stop", "sequence")
         data = {"primers": [r.asDict() for r in primers.toLocalIterator()], "gc": [[r.col, r.value] for r in gc.orderBy("col").toLocalIterator()]}
         Path(a.output).write_text(json.dumps(data, sort_keys=True))

@@ -1,11 +1,12 @@
-"""Range joins, overlaps and coverage: binned equi-joins and windows, never a join on a range alone."""
+"""Range joins, overlaps and coverage: binned equi-joins and scans by blocks, never a join on a range alone."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Config
+from .scans import scan
 
 
 def range_pairs(forward: DataFrame, reverse: DataFrame, c: Config = Config()) -> DataFrame:
@@ -28,11 +29,15 @@ def window(pairs: DataFrame, f_min: int, f_max: int, r_min: int) -> DataFrame:
 
 def merged(spans: DataFrame, *keys: str) -> DataFrame:
     """Union of spans [start, stop) of each key, as disjoint maximal spans (touching ones are joined)."""
-    w = Window.partitionBy(*keys).orderBy("start", "stop")
-    reach = F.max("stop").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    marked = spans.where("start < stop").withColumn("_new", F.when(reach.isNull() | (F.col("start") > reach), 1).otherwise(0))
-    marked = marked.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return marked.groupBy(*keys, "_run").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("_run")
+    (key,) = keys if len(keys) == 1 else ("_key",)
+    spans = spans.where("start < stop")
+    if len(keys) > 1:
+        spans = spans.withColumn(key, F.struct(*keys))
+    marked = scan(spans.select(key, "start", "stop"), key, ["start", "stop"], _reach=("max_before", F.col("stop")))
+    begins = F.col("_reach").isNull() | (F.col("start") > F.col("_reach"))
+    runs = scan(marked.withColumn("_begin", F.when(begins, F.col("start"))), key, ["start", "stop"], _last=("max_before", F.col("_begin")))
+    found = runs.groupBy(key, F.coalesce("_begin", "_last").alias("start")).agg(F.max("stop").alias("stop"))
+    return found.select(*([key] if len(keys) == 1 else [F.col(f"{key}.{k}").alias(k) for k in keys]), "start", "stop")
 
 
 def coverage(spans: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -46,9 +51,19 @@ def uncovered(spans: DataFrame, sizes: DataFrame) -> DataFrame:
     """Maximal runs of columns under no span: msa, start, stop (exclusive)."""
     runs = merged(spans, "msa").select("msa", "start", "stop")
     ends = runs.unionByName(sizes.select("msa", F.col("size").alias("start"), F.col("size").alias("stop")))
-    before = F.coalesce(F.max("stop").over(Window.partitionBy("msa").orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    gaps = ends.withColumn("_from", before).join(sizes, "msa")
-    return gaps.select("msa", F.col("_from").alias("start"), F.least("start", "size").alias("stop")).where("start < stop")
+    gaps = scan(ends, "msa", ["start", "stop"], _from=("max_before", F.col("stop"))).join(sizes, "msa")
+    return gaps.select("msa", F.coalesce("_from", F.lit(0)).alias("start"), F.least("start", "size").alias("stop")).where("start < stop")
+
+
+def around_origin(spans: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Uncovered runs of circular genomes: a run at the end and one at the start are one that starts at the former and stops,
+    beyond size, where the latter does."""
+    runs = uncovered(spans, sizes).join(sizes, "msa")
+    head = runs.where("start = 0").select("msa", F.col("stop").alias("_more"))
+    joined = runs.join(head, "msa", "left").withColumn("_wraps", (F.col("stop") == F.col("size")) & F.col("_more").isNotNull() & (F.col("start") > 0))
+    wraps = joined.where("_wraps").select("msa", F.lit(True).alias("_wrapped"))
+    kept = joined.join(wraps, "msa", "left").where("_wrapped IS NULL OR start > 0")
+    return kept.select("msa", "start", F.when(F.col("_wraps"), F.col("size") + F.col("_more")).otherwise(F.col("stop")).alias("stop"))
 
 
 def gaps(spans: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -71,15 +86,13 @@ def region_scores(regions: DataFrame) -> DataFrame:
     """msa, start, stop, score: constant pieces of the sum of overlapping regions' scores."""
     edges = regions.select("msa", F.explode(F.array(F.struct(F.col("start").alias("at"), F.col("score").alias("d")), F.struct(F.col("stop").alias("at"), (-F.col("score")).alias("d")))).alias("e")).select("msa", "e.at", "e.d")
     steps = edges.groupBy("msa", "at").agg(F.sum("d").alias("d"))
-    w = Window.partitionBy("msa").orderBy("at")
-    pieces = steps.select("msa", F.col("at").alias("start"), F.lead("at").over(w).alias("stop"), F.sum("d").over(w).alias("score"))
-    return pieces.where("stop IS NOT NULL AND score != 0")
+    pieces = scan(steps, "msa", ["at"], stop=("lead", F.col("at")), _before=("sum_before", F.col("d")))
+    return pieces.select("msa", F.col("at").alias("start"), "stop", (F.col("_before") + F.col("d")).alias("score")).where("stop IS NOT NULL AND score != 0")
 
 
 def prefix_sums(pieces: DataFrame) -> DataFrame:
     """The pieces with the score of all positions before them, so that any span's score is two lookups."""
-    w = Window.partitionBy("msa").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
-    return pieces.withColumn("before", F.coalesce(F.sum(F.col("score") * (F.col("stop") - F.col("start"))).over(w), F.lit(0)))
+    return scan(pieces, "msa", ["start"], before=("sum_before", F.col("score") * (F.col("stop") - F.col("start"))))
 
 
 def region_coverage(regions: DataFrame, spans: DataFrame) -> DataFrame:

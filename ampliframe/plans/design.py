@@ -9,7 +9,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import bridge
 from ..config import Config
 from ..errors import RepeatedName
 from ..functions import seq as S
@@ -34,15 +33,15 @@ def alignments(spark: SparkSession, paths: list[str]) -> DataFrame:
     return fasta.strip_ends(rows).select("msa", "row", "name", "seq", "lead", "tail")
 
 
-def cells(rows: DataFrame) -> DataFrame:
-    return bridge.cells(rows.select(F.col("msa").alias("chrom"), "row", "seq"))
+def by_chrom(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("msa").alias("chrom"), "row", "seq")
 
 
 def mapped(rows: DataFrame, c: Config) -> DataFrame:
     """chrom, col, ref_pos: positions on the first row, or columns for mapping by consensus."""
     if c.mapping == "consensus":
-        return cells(rows).select("chrom", "col", F.col("col").alias("ref_pos")).distinct()
-    return A.mapping(cells(rows), rows.select(F.col("msa").alias("chrom"), "row"))
+        return A.per_column(by_chrom(rows)).select("chrom", "col", F.col("col").alias("ref_pos"))
+    return A.mapping(by_chrom(rows))
 
 
 def sites(rows: DataFrame, c: Config) -> DataFrame:
@@ -98,7 +97,7 @@ def wanted(rows: DataFrame, c: Config, mode: str, regions: DataFrame | None) ->
     at = mapped(rows, c).where("ref_pos IS NOT NULL")
     score = F.lit(1.0)
     if mode == "entropy":
-        columns = A.per_column(A.histogram(cells(rows)), rows.select(F.col("msa").alias("chrom"), "row"))
+        columns = A.per_column(by_chrom(rows))
         at, score = at.join(A.entropy(columns), ["chrom", "col"]), F.col("entropy") + 0.01
     return at.select(F.col("chrom").alias("msa"), F.col("ref_pos").alias("start"), (F.col("ref_pos") + 1).alias("stop"), score.alias("score"))
 
@@ -110,7 +109,7 @@ def write(spark: SparkSession, rows: DataFrame, found: DataFrame, chosen: DataFr
     sizes = rows.groupBy("msa").agg(F.max(F.length("seq")).alias("size"))
     spans = scheme.select(F.col("chrom").alias("msa"), F.col("f_end").alias("start"), F.col("r_start").alias("stop"))
     text = lambda df: "\n".join("\t".join(map(str, r)) for r in df.orderBy("chrom", "start").toLocalIterator()) + "\n"
-    columns = A.per_column(A.histogram(cells(rows)), rows.select(F.col("msa").alias("chrom"), "row"))
+    columns = A.per_column(by_chrom(rows))
     reference = A.reference(rows.select(F.col("msa").alias("chrom"), "row", "seq")).select(F.col("chrom").alias("name"), F.col("reference").alias("seq"))
     primers = bed.primer_text(scheme)
     made = {

@@ -25,12 +25,8 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bridge.cells(bridge.rows(spark, sf_dir))
-
-
 def _columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.per_column(A.histogram(_cells(spark, sf_dir)), bridge.rows(spark, sf_dir))
+    return A.per_column(bridge.rows(spark, sf_dir))
 
 
 def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -217,12 +213,12 @@ REDUCE = "SELECT chrom, col, round(value, 4) AS value FROM (SELECT *, lag(value)
 
 @query(f"WITH {HIST} SELECT chrom, col, base, n FROM hist_")
 def col_base_counts(spark, sf_dir):
-    return A.histogram(_cells(spark, sf_dir))
+    return A.histogram(bridge.rows(spark, sf_dir))
 
 
 @query(f"WITH {HIST} SELECT chrom, col, arg_min(base, (-n, base)) AS base FROM hist_ WHERE base <> '' GROUP BY ALL")
 def most_common_base(spark, sf_dir):
-    return A.most_common(A.histogram(_cells(spark, sf_dir)))
+    return A.most_common(A.histogram(bridge.rows(spark, sf_dir)))
 
 
 @query(f"WITH {COLUMNS} SELECT chrom, col, round(gaps::DOUBLE / height, 6) AS gap_freq, gaps::DOUBLE / height > 0.02 AS gapped FROM columns_")
@@ -243,7 +239,7 @@ _SPREAD = "CASE base WHEN 'R' THEN ['A', 'G'] WHEN 'Y' THEN ['C', 'T'] WHEN 'A'
 
 @query(f"WITH {HIST}, s AS (SELECT chrom, col, b AS base, sum(n) AS n FROM (SELECT chrom, col, n, unnest({_SPREAD}) AS b FROM hist_) GROUP BY ALL) SELECT chrom, col, base, round(n::DOUBLE / sum(n) OVER (PARTITION BY chrom, col), 6) AS prob FROM s")
 def col_probabilities(spark, sf_dir):
-    return A.probabilities(A.histogram(_cells(spark, sf_dir)))
+    return A.probabilities(A.histogram(bridge.rows(spark, sf_dir)))
 
 
 @query(f"WITH {COLUMNS}, points_ AS (SELECT chrom, col, 1 - (gaps + ends)::DOUBLE / height AS value FROM columns_) {REDUCE}")
@@ -260,7 +256,7 @@ def col_gc_bins(spark, sf_dir):
 @query(f"""WITH {bridge.CELLS}, v AS (SELECT chrom, col, b, count(*) AS n, min((row, k)) AS first FROM (SELECT chrom, row, col, unnest(range(1, 3)) AS k, {_SPREAD} AS l, l[k] AS b FROM cells_) WHERE b IS NOT NULL GROUP BY chrom, col, b),
 w AS (SELECT chrom, col, arg_min(b, (-n, first)) AS base FROM v GROUP BY chrom, col) SELECT chrom, col, coalesce(base, 'N') AS base FROM (SELECT DISTINCT chrom, col FROM cells_) LEFT JOIN w USING (chrom, col)""")
 def consensus(spark, sf_dir):
-    return A.consensus(_cells(spark, sf_dir))
+    return A.consensus(bridge.rows(spark, sf_dir))
 
 
 @query(f"WITH rows_ AS ({bridge.ROWS}) SELECT chrom, replace(arg_min(seq, row), '-', '') AS reference FROM rows_ GROUP BY chrom")
@@ -275,8 +271,7 @@ inv_ AS (SELECT chrom, ref_pos, col FROM map_ WHERE ref_pos IS NOT NULL UNION AL
 
 @query(f"WITH {MAP} SELECT chrom, col, ref_pos FROM map_")
 def mapping_array(spark, sf_dir):
-    rows = bridge.rows(spark, sf_dir)
-    return A.mapping(bridge.cells(rows), rows)
+    return A.mapping(bridge.rows(spark, sf_dir))
 
 
 @query(f"WITH {MAP} SELECT chrom, ref_pos, col FROM inv_")

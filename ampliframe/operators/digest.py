@@ -30,10 +30,14 @@ def spread(s: str) -> list[str] | None:
 
 
 class Alignment:
-    """Columns [offset, offset + width) of an alignment of total columns; cells are bases, '-' or '' at unsequenced ends."""
+    """Columns [offset, offset + width) of an alignment of total columns; cells are bases, '-' or '' at unsequenced ends.
 
-    def __init__(self, rows: list[list[str]], offset: int, total: int, c: Config):
+    Equal rows come once, with their number in weights, in the order of the first of each.
+    """
+
+    def __init__(self, rows: list[list[str]], offset: int, total: int, c: Config, weights: list[int] | None = None):
         self.rows, self.offset, self.total, self.c = rows, offset, total, c
+        self.weights = weights or [1] * len(rows)
         self._tm: dict[str, float] = {}
         self._common: dict[int, str] = {}
 
@@ -42,7 +46,10 @@ class Alignment:
 
     def common(self, col: int) -> str:
         if col not in self._common:
-            n = Counter(x for r in range(len(self.rows)) if (x := self.cell(r, col)))
+            n: Counter = Counter()
+            for r, w in enumerate(self.weights):
+                if x := self.cell(r, col):
+                    n[x] += w
             self._common[col] = min(n, key=lambda b: (-n[b], b)) if n else "-"
         return self._common[col]
 
@@ -82,30 +89,33 @@ class Alignment:
 
     def digest(self, col: int, forward: bool) -> dict[str, float]:
         """Weights of sequences and statuses over the rows at one anchor column."""
-        c, n = self.c, len(self.rows)
+        c, n = self.c, sum(self.weights)
         size = c.primer_size_min
         if not forward and col + size >= self.total:
             return {"WALKS_OUT": -1.0}
-        gaps = sum(self.cell(r, col) == "-" for r in range(n)) if col < self.total else 0
+        gaps = sum(w for r, w in enumerate(self.weights) if self.cell(r, col) == "-") if col < self.total else 0
         if gaps / n > c.min_base_freq:
             return {"GAP_ON_SET_BASE": -1.0}
         if forward and col - size < 0:
             return {"WALKS_OUT": -1.0}
         left, right = (col - size, col) if forward else (col, col + size)
         total: Counter = Counter()
-        for r in range(n):
-            if self.cell(r, right - 1 if forward else left) == "-":
-                total["GAP_ON_SET_BASE"] += 1
+        for r, w in enumerate(self.weights):
+            if col < self.total and self.cell(r, col) == "-":  # for a forward primer, the column behind its last base
+                total["GAP_ON_SET_BASE"] += w
                 continue
             s = "".join(self.cell(r, k) for k in range(left, right)).replace("-", "")
             if not s:
                 continue
             start = spread(s)
-            found = ["CONTAINS_INVALID_BASE"] if start is None else [x for s in start for x in self.walk(r, left, right, s, forward)]
-            for x in set(found):
-                total[x] += 1 / len(found)
-            if c.min_base_freq == 0 and any(x in ERRORS for x in found) and not (c.ignore_n and set(found) == {"CONTAINS_INVALID_BASE"}):
+            if start is None:  # a base without meaning counts as such, and ends nothing early
+                total["CONTAINS_INVALID_BASE"] += w
+                continue
+            found = [x for s in start for x in self.walk(r, left, right, s, forward)]
+            if c.min_base_freq == 0 and any(x in ERRORS for x in found):
                 return {min((x for x in found if x in ERRORS), key=ERRORS.index): -1.0}
+            for x in dict.fromkeys(found):
+                total[x] += w / len(found)
         return dict(total)
 
 
@@ -117,8 +127,8 @@ def resolve(total: dict[str, float], forward: bool, c: Config) -> tuple[str, lis
     every = sum(total.values())
     kept = {k: v for k, v in total.items() if every and v / every > c.min_base_freq and not (c.ignore_n and k == "CONTAINS_INVALID_BASE")}
     bad = [k for k in kept if k in ERRORS]
-    if bad:
-        return min(bad, key=ERRORS.index), [], []
+    if bad:  # the first that was met
+        return bad[0], [], []
     if not kept:
         return "NO_SEQS", [], []
     if not forward:
@@ -139,7 +149,12 @@ def check(s: str, c: Config, hairpin: bool = False) -> str:
     for a, b in zip(s, s[1:]):
         run = run + 1 if a == b else 1
         longest = max(longest, run)
-    for bad, name in ((gc > c.primer_gc_max, "HIGH_GC"), (gc < c.primer_gc_min, "LOW_GC"), (len(s) > c.primer_size_max, "TO_LONG"), (tm > c.primer_tm_max + 2, "HIGH_TM"), (tm < c.primer_tm_min, "LOW_TM"), (longest > c.primer_homopolymer_max, "MAX_HOMOPOLY")):
+    if c.use_annealing:
+        bound = thermo.annealed_of(s, c)
+        heat = ((bound > c.primer_annealing_prop + 5, "HIGH_ANNEALING"), (bound < c.primer_annealing_prop - 5, "LOW_ANNEALING"))
+    else:
+        heat = ((tm > c.primer_tm_max + 2, "HIGH_TM"), (tm < c.primer_tm_min, "LOW_TM"))
+    for bad, name in ((gc > c.primer_gc_max, "HIGH_GC"), (gc < c.primer_gc_min, "LOW_GC"), (len(s) > c.primer_size_max, "TO_LONG"), *heat, (longest > c.primer_homopolymer_max, "MAX_HOMOPOLY")):
         if bad:
             return name
     return "HAIRPIN" if hairpin and thermo.hairpin_tm(s, c) > c.primer_hairpin_th_max else "PASS"
@@ -148,15 +163,19 @@ def check(s: str, c: Config, hairpin: bool = False) -> str:
 def digest(rows: DataFrame, c: Config = Config(), block: int = 512) -> DataFrame:
     """msa, direction, col, status, seqs, weights for every column of aligned rows (msa, row, seq, lead, tail).
 
-    Every row is cut into blocks of columns with a margin as wide as a walk, which is the one shuffle; a group is one
-    block of one alignment.
+    Every row is cut into blocks of columns with a margin as wide as a walk. Equal pieces, of which most genomes have many,
+    become one with their number before the one shuffle; a group is one block of one alignment.
     """
     margin = c.primer_max_walk + c.primer_size_min + 2
     total = rows.groupBy("msa").agg(F.max(F.length("seq")).alias("total"))
     wide = rows.join(total, "msa").withColumn("block", F.explode(F.sequence(F.lit(0), F.floor((F.col("total") - 1) / block))))
     low = F.greatest(F.col("block") * block - margin, F.lit(0))
     high = F.least((F.col("block") + 1) * block + margin, "total")
-    cut = wide.select("msa", "block", "row", "total", "lead", "tail", F.length("seq").alias("size"), low.cast("int").alias("low"), F.expr("substring(seq, cast(greatest(block * {0} - {1}, 0) as int) + 1, cast(least((block + 1) * {0} + {1}, total) - greatest(block * {0} - {1}, 0) as int))".format(block, margin)).alias("piece"), high.cast("int").alias("high"))
+    piece = F.expr("substring(seq, cast(greatest(block * {0} - {1}, 0) as int) + 1, cast(least((block + 1) * {0} + {1}, total) - greatest(block * {0} - {1}, 0) as int))".format(block, margin))
+    # where the piece's sequenced cells begin and end
+    first, last = (F.least(F.greatest(x - low, F.lit(0)), high - low).cast("int") for x in (F.col("lead"), F.length("seq") - F.col("tail")))
+    cut = wide.select("msa", "block", "row", "total", low.cast("int").alias("low"), high.cast("int").alias("high"), piece.alias("piece"), first.alias("first"), last.alias("last"))
+    cut = cut.groupBy("msa", "block", "total", "low", "high", "piece", "first", "last").agg(F.min("row").alias("row"), F.count("*").alias("n"))
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("row")
@@ -164,8 +183,8 @@ def digest(rows: DataFrame, c: Config = Config(), block: int = 512) -> DataFrame
         cells = []
         for p in pdf.itertuples():
             text = p.piece.ljust(high - low, "-")
-            cells.append(["" if k + low < p.lead or k + low >= p.size - p.tail else x for k, x in enumerate(text)])
-        a, out = Alignment(cells, low, total, c), []
+            cells.append(["" if k < p.first or k >= p.last else x for k, x in enumerate(text)])
+        a, out = Alignment(cells, low, total, c, pdf.n.tolist()), []
         first = int(key[1]) * block
         for col in range(first, min(first + block, total)):
             for forward in (True, False):
@@ -177,7 +196,9 @@ def digest(rows: DataFrame, c: Config = Config(), block: int = 512) -> DataFrame
 
 
 def remapped(found: DataFrame, mapped: DataFrame) -> DataFrame:
-    """Candidates at reference positions: those on a mapped column whose primers stay inside."""
+    """Candidates at reference positions: those on a mapped column whose primers stay inside the alignment's columns."""
     size = F.array_max(F.transform("seqs", lambda s: F.length(s)))
-    p = found.where("status = 'PASS'").join(mapped.select(F.col("chrom").alias("msa"), "col", "ref_pos"), ["msa", "col"]).where("ref_pos IS NOT NULL")
-    return p.withColumns({"start": F.when(F.col("direction") == "LEFT", F.col("ref_pos") - size).otherwise(F.col("ref_pos")), "stop": F.when(F.col("direction") == "LEFT", F.col("ref_pos")).otherwise(F.col("ref_pos") + size)}).where("start >= 0")
+    width = mapped.groupBy(F.col("chrom").alias("msa")).agg((F.max("col") + 1).alias("_width"))
+    p = found.where("status = 'PASS'").join(mapped.select(F.col("chrom").alias("msa"), "col", "ref_pos"), ["msa", "col"]).where("ref_pos IS NOT NULL").join(width, "msa")
+    p = p.withColumns({"start": F.when(F.col("direction") == "LEFT", F.col("ref_pos") - size).otherwise(F.col("ref_pos")), "stop": F.when(F.col("direction") == "LEFT", F.col("ref_pos")).otherwise(F.col("ref_pos") + size)})
+    return p.where((F.col("start") >= 0) & (F.col("stop") < F.col("_width"))).drop("_width")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +33,8 @@ def interactions(primers: DataFrame, limit: float) -> DataFrame:
     """Interacting primers of each pool: pool, a, b, score; all pairs of a pool's primers, which protocols keep to hundreds."""
     @F.pandas_udf("double")
     def lowest(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([float(thermo.dimer_scores(x, y).min()) for x, y in zip(a, b)])
+        n = np.arange(len(a))
+        return pd.Series(thermo.lowest_scores(*thermo.coded([*a, *b]), n, n + len(a)).astype(float))
 
     p = primers.select("pool", "seq").distinct()
     both = p.withColumnRenamed("seq", "a").join(p.withColumnRenamed("seq", "b"), "pool").where("a <= b")

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from pathlib import Path
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,7 +51,9 @@ def sites(rows: DataFrame, c: Config) -> DataFrame:
 
     @F.pandas_udf("boolean")
     def straight(seqs: pd.Series) -> pd.Series:
-        return pd.Series([all(thermo.hairpin_tm(s, c) <= c.primer_hairpin_th_max for s in x) for x in seqs])
+        flat = seqs.explode()
+        tms = pd.Series(thermo.hairpin_tms(flat.tolist(), c), index=flat.index)
+        return (tms <= c.primer_hairpin_th_max).groupby(level=0).all()
 
     @F.pandas_udf("array<string>")
     def fewer(seqs: pd.Series, weights: pd.Series) -> pd.Series:
@@ -65,15 +69,17 @@ def sites(rows: DataFrame, c: Config) -> DataFrame:
 def pairs(found: DataFrame, c: Config) -> DataFrame:
     """msa, f_start, f_end, r_start, r_end, seqs, gc_diff of sites whose insert fits and whose primers don't bind each other."""
 
-    @F.pandas_udf("boolean")
-    def apart(f: pd.Series, r: pd.Series) -> pd.Series:
-        return pd.Series([not thermo.interacts(list(x), list(y), c.dimer_score) for x, y in zip(f, r)])
+    def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            f, r = (batch.column(batch.schema.get_field_index(x)) for x in ("f_seqs", "r_seqs"))
+            yield batch.filter(pa.array(~thermo.clouds_bind(f, r, c.dimer_score)))
 
     f = found.where("direction = 'LEFT'").select("msa", F.col("start").alias("f_start"), F.col("stop").alias("f_end"), F.col("seqs").alias("f_seqs"))
     r = found.where("direction = 'RIGHT'").select("msa", F.col("start").alias("r_start"), F.col("stop").alias("r_end"), F.col("seqs").alias("r_seqs"))
-    both = I.range_pairs(f, r, c).where(apart("f_seqs", "r_seqs")).withColumn("seqs", F.concat("f_seqs", "r_seqs"))
+    met = I.range_pairs(f, r, c).select("msa", "f_start", "f_end", "r_start", "r_end", "f_seqs", "r_seqs")
+    both = met.mapInArrow(apart, met.schema).withColumn("seqs", F.concat("f_seqs", "r_seqs"))
     off = F.aggregate(F.transform("seqs", lambda s: F.abs(F.lit(0.5) - S.gc(s) / 100)), F.lit(0.0), lambda a, x: a + x)
-    return both.select("msa", "f_start", "f_end", "r_start", "r_end", "seqs", (off / F.size("seqs")).alias("gc_diff"))
+    return both.select("msa", "f_start", "f_end", "r_start", "r_end", "seqs", (off / F.size("seqs")).alias("gc_diff"), F.size("f_seqs").alias("forward"))
 
 
 def clouded(chosen: DataFrame, found: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections import Counter
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -120,7 +121,9 @@ class Alignment:
 
 
 def resolve(total: dict[str, float], forward: bool, c: Config) -> tuple[str, list[str], list[float]]:
-    """Status, sequences and weights of an anchor: rare ones dropped, any error left fails it, then temperature checks."""
+    """Status, sequences and weights of an anchor: rare ones dropped, any error left fails it, then temperature checks.
+
+    Whether a cloud binds itself is asked of many anchors at once (see dimers)."""
     errors = [k for k, v in total.items() if v == -1.0]
     if errors:
         return errors[0], [], []
@@ -138,11 +141,16 @@ def resolve(total: dict[str, float], forward: bool, c: Config) -> tuple[str, lis
         if status != "PASS":
             return status, [], []
     seqs = sorted(kept)
-    if thermo.interacts(seqs, seqs, c.dimer_score):
-        return "DIMER_FAIL", [], []
     return "PASS", seqs, [kept[s] for s in seqs]
 
 
+def dimers(resolved: list[tuple[str, list[str], list[float]]], c: Config) -> list[tuple[str, list[str], list[float]]]:
+    """The anchors, with DIMER_FAIL for those whose cloud binds itself."""
+    clouds = pa.array([r[1] for r in resolved], pa.list_(pa.string()))
+    bound = thermo.clouds_bind(clouds, clouds, c.dimer_score)
+    return [("DIMER_FAIL", [], []) if b else r for r, b in zip(resolved, bound.tolist())]
+
+
 def check(s: str, c: Config, hairpin: bool = False) -> str:
     gc = round(100 * sum(x in "GC" for x in s) / len(s), 1)
     tm, run, longest = thermo.tm_of(s, c), 1, 1
@@ -184,12 +192,12 @@ def digest(rows: DataFrame, c: Config = Config(), block: int = 512) -> DataFrame
         for p in pdf.itertuples():
             text = p.piece.ljust(high - low, "-")
             cells.append(["" if k < p.first or k >= p.last else x for k, x in enumerate(text)])
-        a, out = Alignment(cells, low, total, c, pdf.n.tolist()), []
+        a = Alignment(cells, low, total, c, pdf.n.tolist())
         first = int(key[1]) * block
-        for col in range(first, min(first + block, total)):
-            for forward in (True, False):
-                if (forward and col >= c.primer_size_min) or (not forward and col < total - c.primer_size_min):
-                    out.append((key[0], "LEFT" if forward else "RIGHT", col, *resolve(a.digest(col, forward), forward, c)))
+        cols = range(first, min(first + block, total))
+        at = [(col, forward) for col in cols for forward in (True, False) if (col >= c.primer_size_min if forward else col < total - c.primer_size_min)]
+        found = dimers([resolve(a.digest(col, forward), forward, c) for col, forward in at], c)
+        out = [(key[0], "LEFT" if forward else "RIGHT", col, *r) for (col, forward), r in zip(at, found)]
         return pd.DataFrame(out, columns=["msa", "direction", "col", "status", "seqs", "weights"])
 
     return cut.groupBy("msa", "block").applyInPandas(run, "msa string, direction string, col int, status string, seqs array<string>, weights array<double>")

@@ -18,8 +18,10 @@ def range_pairs(forward: DataFrame, reverse: DataFrame, c: Config = Config()) ->
     low, high = c.amplicon_size_min, c.amplicon_size_max
     width = max(high - low + 1, 1)
     bins = F.sequence(F.floor((F.col("f_start") + low) / width), F.floor((F.col("f_start") + high) / width))
-    f = forward.withColumn("_bin", F.explode(bins))
-    r = reverse.withColumn("_bin", F.floor(F.col("r_start") / width))
+    # an explicit number of partitions: what comes out of the join is far larger than what goes in
+    n = int(forward.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    f = forward.withColumn("_bin", F.explode(bins)).repartition(n, "msa", "_bin")
+    r = reverse.withColumn("_bin", F.floor(F.col("r_start") / width)).repartition(n, "msa", "_bin")
     return f.join(r, ["msa", "_bin"]).where(F.col("r_start").between(F.col("f_start") + low, F.col("f_start") + high)).drop("_bin")
 
 

@@ -19,7 +19,7 @@ from .plans import design
 from .sources import bed, fasta
 
 #: Settings of a run that scheme-create and panel-create take as options.
-SETTINGS = ("amplicon_size", "min_overlap", "n_pools", "dimer_score", "min_base_freq", "mapping", "circular", "backtrack", "ignore_n", "high_gc", "use_annealing", "downsample", "downsample_target")
+SETTINGS = ("amplicon_size", "min_overlap", "n_pools", "dimer_score", "min_base_freq", "mapping", "circular", "backtrack", "ignore_n", "high_gc", "use_annealing", "downsample", "downsample_target", "mismatch_product_size")
 
 
 def parser() -> argparse.ArgumentParser:
@@ -31,6 +31,8 @@ def parser() -> argparse.ArgumentParser:
         p = commands.add_parser(name, help=help)
         for x in places:
             p.add_argument(x)
+        if output and name != "scheme-create":
+            p.add_argument("--strict-fix", action="store_true", help="without the known faults of the usual protocol")
         if output:
             p.add_argument("--output", required=True, help="folder of the run's files")
             p.add_argument("--force", action="store_true", help="write into a folder that exists")
@@ -45,9 +47,12 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--msa", action="append", required=True)
     p.add_argument("--region-bedfile")
     p.add_argument("--mode", choices=("region-only", "entropy", "equal"), default="region-only")
-    p.add_argument("--max-amplicons", type=int)
+    for x in ("--max-amplicons", "--max-amplicons-msa", "--max-amplicons-region-group"):
+        p.add_argument(x, type=int)
+    p.add_argument("--input-bedfile", help="pairs that the panel starts from")
     p = command("interactions", "primers of a pool that bind each other", "bedfile")
     p.add_argument("--threshold", type=float, default=kinds["dimer_score"])
+    p.add_argument("--text", action="store_true", help="show each interaction as the primers bind")
     p = command("repair-mode", "what new genomes need of a scheme's primers", output=True)
     for x in ("--bedfile", "--msa", "--config"):
         p.add_argument(x, required=True)
@@ -56,6 +61,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--amplicon-size-max", type=int, required=True)
     p.add_argument("--amplicon-size-min", type=int, required=True)
     p.add_argument("--mode", choices=("ListAll", "AddBest"), default="ListAll")
+    p.add_argument("--mask-old-sites", action=argparse.BooleanOptionalAction, default=True)
     p = command("visualise-primer-mismatches", "mismatches of primers with genomes, as a table", "msa", "bedfile")
     p.add_argument("--output", default="primer.csv")
     p = command("visualise-bedfile", "a scheme's primers and the reference's G and C, as data", "bedfile", "ref_path")
@@ -91,20 +97,50 @@ def run(spark: SparkSession, given: list[str]) -> None:
         if a.mode == "region-only" and not a.region_bedfile:
             raise SystemExit("region-only needs --region-bedfile")
         regions = bed.read_regions(spark, a.region_bedfile) if a.region_bedfile else None
-        design.panel(spark, a.msa, _folder(a), settings, a.mode, regions, a.max_amplicons)
+        seeds = None
+        if a.input_bedfile:
+            seeds, note = bed.read_extra(spark, a.input_bedfile, settings, a.strict_fix)
+            print(note, file=sys.stderr)
+        warn = lambda x: print(x, file=sys.stderr)
+        design.panel(spark, a.msa, _folder(a), settings, a.mode, regions, a.max_amplicons, a.max_amplicons_msa, a.max_amplicons_region_group, seeds, warn, a.strict_fix)
     elif a.command == "interactions":
         primers = bed.read_primers(spark, a.bedfile).select("pool", F.col("sequence").alias("seq"))
-        _table(mismatch.interactions(primers, a.threshold).orderBy("score", "pool", "a", "b"))
+        found = mismatch.interactions(primers, a.threshold)
+        if a.text:
+            for r in mismatch.shown(found.withColumn("limit", F.lit(a.threshold))).orderBy("pool", "a", "b", "offset").toLocalIterator():
+                print(r.text)
+        else:
+            _table(found.orderBy("score", "pool", "a", "b"))
     elif a.command == "repair-mode":
         # a repair takes sequences of a tenth of the genomes, whatever the scheme was made with
-        c = Config.of(**(json.loads(Path(a.config).read_text()) | {"min_base_freq": 0.1}))
-        found = design.repair(design.alignments(spark, [a.msa]), scheme_of(a.bedfile), c)
-        _table(found.orderBy("site", "seq"), f"{_folder(a)}/repair.tsv")
+        given = json.loads(Path(a.config).read_text())
+        c, scheme, out = Config.of(**(given | {"min_base_freq": 0.1})), scheme_of(a.bedfile), _folder(a)
+        found = design.repair(design.alignments(spark, [a.msa]), scheme, c, a.strict_fix)
+        found.write.mode("overwrite").parquet(f"{out}/work/repair")
+        found = spark.read.parquet(f"{out}/work/repair")
+        _table(found.orderBy("site", "seq"), f"{out}/repair.tsv")
+        text = bed.primer_text(design.repaired(scheme, found))
+        Path(out, "primer.bed").write_text(text)
+        Path(out, "config.json").write_text(json.dumps(given | {"primer.bed.md5": bed.primer_md5(text)}, sort_keys=True))
     elif a.command == "replace-primerpair":
         sizes = {"amplicon_size_min": a.amplicon_size_min, "amplicon_size_max": a.amplicon_size_max}
-        c = Config.of(**(json.loads(Path(a.config).read_text()) | sizes))
-        found = design.replacements(design.alignments(spark, [a.msa]), scheme_of(a.primerbed), a.primername, c)
-        _table(found.limit(1) if a.mode == "AddBest" else found, f"{_folder(a)}/replacements.tsv")
+        given = json.loads(Path(a.config).read_text())
+        c, scheme, out = Config.of(**(given | sizes)), scheme_of(a.primerbed), _folder(a)
+        found, counts = design.replacements(design.alignments(spark, [a.msa]), scheme, a.primername, c, a.mask_old_sites, a.strict_fix)
+        found.write.mode("overwrite").parquet(f"{out}/work/replacements")
+        found = spark.read.parquet(f"{out}/work/replacements").orderBy("n", "f_end", "r_start")
+        _table(counts)
+        best = found.limit(1)
+        if a.mode == "ListAll":
+            Path(out, "primer.bed").write_text(bed.options_text(found))
+        else:
+            old = best.select("chrom", "number").first()
+            if old is None:
+                raise SystemExit("no pair can be added")
+            rest = scheme.where(~((F.col("chrom") == old.chrom) & (F.col("number") == old.number)))
+            text = bed.primer_text(rest.unionByName(best.select(*rest.columns)))
+            Path(out, "primer.bed").write_text(text)
+            Path(out, "config.json").write_text(json.dumps(given | {"primer.bed.md5": bed.primer_md5(text)}, sort_keys=True))
     elif a.command == "visualise-primer-mismatches":
         rows = design.alignments(spark, [a.msa])
         at = design.mapped(rows, settings).select(F.col("ref_pos").alias("start"), F.col("col").alias("at"), "chrom")

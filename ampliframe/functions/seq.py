@@ -85,3 +85,28 @@ def same_start(a: Column, b: Column) -> Column:
 
 def chrom_name(s: Column) -> Column:
     return F.translate(s, "/-", "__")
+
+
+def alignment_text(a: Column, b: Column, offset: Column, score: Column) -> Column:
+    """Two primers as they bind: the score, a read forwards, the pairing, and b read backwards, shifted by offset."""
+    one, two = F.concat(F.lit("5'-"), a, F.lit("-3' >")), F.concat(F.lit("3'-"), F.reverse(b), F.lit("-5'"))
+    one = F.concat(F.repeat(F.lit(" "), F.greatest(offset, F.lit(0))), one)
+    two = F.concat(F.repeat(F.lit(" "), F.greatest(-offset, F.lit(0))), two)
+    width = F.greatest(F.length(one), F.length(two))
+    one, two = F.rpad(one, width, F.lit(" ")), F.rpad(two, width, F.lit(" "))
+    return F.concat(F.lit("score: "), F.bround(score, 2).cast("string"), F.lit("\n"), one, F.lit("\n"), pairing(one, two), F.lit("\n"), two, F.lit("\n"))
+
+
+def match_text(name: Column, primer: Column, genome: Column) -> Column:
+    """A primer over the genome's end, both read to the 3' end: | where they are equal, . where not."""
+    n = F.least(F.length(primer), F.length(genome))
+    last = lambda s: F.substring(s, F.length(s) - n + 1, n)
+    marks = F.array_join(F.zip_with(chars(last(primer)), chars(last(genome)), lambda x, y: F.when(x == y, "|").otherwise(".")), "")
+    shown = F.substring(genome, F.greatest(F.length(genome) - F.length(primer) + 1, F.lit(1)), F.length(primer))
+    return F.concat(F.lit("5'"), primer, F.lit(": "), name, F.lit("<br>5'"), marks, F.lit("<br>5'"), shown)
+
+
+def mean_gc_off(seqs: Column, rounded: bool = True) -> Column:
+    """Mean distance of sequences' share of G and C from a half."""
+    share = lambda s: gc(s) / 100 if rounded else F.length(F.regexp_replace(s, "[^GC]", "")) / F.length(s)
+    return F.aggregate(F.transform(seqs, lambda s: F.abs(F.lit(0.5) - share(s))), F.lit(0.0), lambda a, x: a + x) / F.size(seqs)

@@ -56,6 +56,11 @@ def melting(s: Column, c: Config = Config()) -> Column:
     return 1000 * dh / (ds + GAS * conc) - 273.15
 
 
+def pair_melting(s: Column, c: Config = Config(), strict_fix: bool = False) -> Column:
+    """Melting temperature as pairs report it: with the DNA's concentration in the place of dNTP's, unless strict_fix."""
+    return melting(s, c if strict_fix else c.with_(dntp_conc=c.dna_conc))
+
+
 def annealed(dg: Column, temperature: Column, c: Config = Config()) -> Column:
     """Per cent of the primer that is bound, from a duplex's free energy (cal/mol) at a temperature."""
     ka = F.exp(-dg / (GAS * (temperature + 273.15)))

@@ -168,15 +168,23 @@ def check(s: str, c: Config, hairpin: bool = False) -> str:
     return "HAIRPIN" if hairpin and thermo.hairpin_tm(s, c) > c.primer_hairpin_th_max else "PASS"
 
 
-def digest(rows: DataFrame, c: Config = Config(), block: int = 512) -> DataFrame:
-    """msa, direction, col, status, seqs, weights for every column of aligned rows (msa, row, seq, lead, tail).
+def digest(rows: DataFrame, c: Config = Config(), block: int = 512, only: DataFrame | None = None) -> DataFrame:
+    """msa, direction, col, status, seqs, weights for every column of aligned rows (msa, row, seq, lead, tail), or for those
+    in the runs only (msa, direction, start, stop), of which there are few; blocks without one are not walked.
 
     Every row is cut into blocks of columns with a margin as wide as a walk. Equal pieces, of which most genomes have many,
     become one with their number before the one shuffle; a group is one block of one alignment.
     """
+    runs: dict[str, list[tuple[bool, int, int]]] = {}
+    some = only is not None
+    for r in only.toLocalIterator() if only is not None else ():
+        runs.setdefault(r.msa, []).append((r.direction == "LEFT", r.start, r.stop))
     margin = c.primer_max_walk + c.primer_size_min + 2
     total = rows.groupBy("msa").agg(F.max(F.length("seq")).alias("total"))
     wide = rows.join(total, "msa").withColumn("block", F.explode(F.sequence(F.lit(0), F.floor((F.col("total") - 1) / block))))
+    if only is not None:
+        blocks = only.select("msa", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("stop") - 1) / block))).alias("block")).distinct()
+        wide = wide.join(blocks, ["msa", "block"], "left_semi")
     low = F.greatest(F.col("block") * block - margin, F.lit(0))
     high = F.least((F.col("block") + 1) * block + margin, "total")
     piece = F.expr("substring(seq, cast(greatest(block * {0} - {1}, 0) as int) + 1, cast(least((block + 1) * {0} + {1}, total) - greatest(block * {0} - {1}, 0) as int))".format(block, margin))
@@ -196,6 +204,9 @@ def digest(rows: DataFrame, c: Config = Config(), block: int = 512) -> DataFrame
         first = int(key[1]) * block
         cols = range(first, min(first + block, total))
         at = [(col, forward) for col in cols for forward in (True, False) if (col >= c.primer_size_min if forward else col < total - c.primer_size_min)]
+        if some:
+            own = runs.get(key[0], [])
+            at = [(col, forward) for col, forward in at if any(d == forward and lo <= col < hi for d, lo, hi in own)]
         found = dimers([resolve(a.digest(col, forward), forward, c) for col, forward in at], c)
         out = [(key[0], "LEFT" if forward else "RIGHT", col, *r) for (col, forward), r in zip(at, found)]
         return pd.DataFrame(out, columns=["msa", "direction", "col", "status", "seqs", "weights"])

@@ -108,3 +108,40 @@ def region_coverage(regions: DataFrame, spans: DataFrame) -> DataFrame:
     hit = rb.join(mb, (F.col("msa") == F.col("_m")) & (F.col("_b") == F.col("_mb")), "left").withColumn("_n", F.greatest(F.coalesce(high - low, F.lit(0)), F.lit(0)))
     keys = regions.columns
     return hit.groupBy(*keys).agg(F.sum("_n").alias("_n")).select(*keys, F.round(F.col("_n") / (F.col("stop") - F.col("start")), 2).alias("mean_coverage"))
+
+
+def near_regions(regions: DataFrame, sizes: DataFrame, c: Config = Config()) -> DataFrame:
+    """msa, direction, start, stop: the columns from which an amplicon can reach a column of a region (msa, start, stop), as
+    disjoint runs; forward primers end within amplicon_size_max before it, reverse ones start within that behind it."""
+    r = regions.join(sizes, "msa")
+    most = c.amplicon_size_max
+    left = r.select("msa", F.lit("LEFT").alias("direction"), F.greatest(F.col("start") - most, F.lit(0)).alias("start"), F.least(F.col("stop"), "size").alias("stop"))
+    right = r.select("msa", F.lit("RIGHT").alias("direction"), "start", F.least(F.col("stop") - 1 + most, F.col("size")).alias("stop"))
+    return merged(left.unionByName(right), "msa", "direction")
+
+
+def same_group(regions: DataFrame, spans: DataFrame) -> DataFrame:
+    """Regions (msa, start, stop, group) whose group has a region that a span (msa, start, stop) touches, ends included."""
+    wide = 4096
+    b = lambda d: F.explode(F.sequence(F.floor(F.col("start") / wide), F.floor(F.col("stop") / wide)))
+    r = regions.where("group IS NOT NULL").withColumn("_b", b(regions))
+    s = spans.withColumn("_b", b(spans)).select(F.col("msa").alias("_m"), F.col("_b").alias("_sb"), F.col("start").alias("_s"), F.col("stop").alias("_e"))
+    hit = r.join(s, (F.col("msa") == F.col("_m")) & (F.col("_b") == F.col("_sb")) & (F.col("start") <= F.col("_e")) & (F.col("_s") <= F.col("stop")), "left_semi")
+    return regions.join(hit.select("msa", "group").distinct(), ["msa", "group"], "left_semi").select(*regions.columns)
+
+
+def clear_of_regions(sites: DataFrame, regions: DataFrame) -> DataFrame:
+    """Primer sites (msa, start, stop) that touch no region, ends included."""
+    own = sites.columns
+    one = lambda d: d.withColumn("pool", F.lit(0))
+    return clear_of(one(sites), one(regions.select("msa", "start", "stop")).select("msa", "pool", "start", "stop"), closed=True).select(*own)
+
+
+def msa_index(lines: DataFrame, names: DataFrame) -> DataFrame:
+    """lines (chrom, ...) with msa_index of names (chrom, msa_index); -1 for a name that no alignment has."""
+    return lines.join(names, "chrom", "left").withColumn("msa_index", F.coalesce("msa_index", F.lit(-1)))
+
+
+def tally(found: DataFrame, status: str) -> DataFrame:
+    """status, n: how often each occurs, the most common first."""
+    return found.groupBy(status).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), status)

@@ -7,7 +7,9 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..config import Config
 from ..errors import InputError
+from ..functions import thermo
 
 VERSION = "# artic-bed-version v3.0"
 NAME = r"^(.+)_(\d+)_(LEFT|RIGHT)(?:_(\d+))?$"
@@ -49,6 +51,22 @@ def pairs(lines: DataFrame) -> DataFrame:
     return out.drop("_f", "_r")
 
 
+def read_extra(spark: SparkSession, path: str, c: Config = Config(), strict_fix: bool = False) -> tuple[DataFrame, str]:
+    """Pairs that a design starts from, and a line on their melting temperatures, which a reader is warned by and no more.
+
+    A pool beyond n_pools is a fault; without strict_fix one too many is let through.
+    """
+    lines = read_primers(spark, path)
+    tm = thermo.pair_melting(F.col("sequence"), c, strict_fix)
+    low, high, pool = lines.agg(F.min(tm), F.max(tm), F.max("pool")).first()
+    if pool is None:
+        raise InputError(f"{path} has no primers")
+    if pool + (1 if strict_fix else 0) > c.n_pools:
+        raise InputError(f"{path} has pool {pool + 1} of {c.n_pools}")
+    outside = low < c.primer_tm_min or high > c.primer_tm_max
+    return pairs(lines), f"primer Tm {'outside range' if outside else 'range'}: {low:.2f} : {high:.2f} (range: {c.primer_tm_min} : {c.primer_tm_max})"
+
+
 def primer_lines(pairs_: DataFrame) -> DataFrame:
     """line: BED lines of pairs, ordered by chrom, number, side and place in the cloud."""
     side = lambda cloud, name, strand: pairs_.select("chrom", "number", "prefix", "pool", "f_end", "r_start", F.lit(name).alias("side"), F.lit(strand).alias("strand"), F.posexplode(cloud).alias("at", "x"))
@@ -59,7 +77,7 @@ def primer_lines(pairs_: DataFrame) -> DataFrame:
     name = F.concat_ws("_", "prefix", "number", "side", (F.col("at") + 1).cast("string"))
     count = F.when(F.col("x.count").isNotNull(), F.concat(F.lit(f"\t{COUNT_KEY}="), F.col("x.count").cast("string"))).otherwise("")
     line = F.concat(F.concat_ws("\t", "chrom", start.cast("string"), stop.cast("string"), name, (F.col("pool") + 1).cast("string"), "strand", "x.sequence"), count)
-    return rows.select("chrom", "number", "side", "at", line.alias("line"))
+    return rows.select("chrom", "number", "side", "at", "f_end", "r_start", line.alias("line"))
 
 
 def primer_text(pairs_: DataFrame, headers: tuple[str, ...] = (VERSION,)) -> str:
@@ -68,6 +86,18 @@ def primer_text(pairs_: DataFrame, headers: tuple[str, ...] = (VERSION,)) -> str
     return "\n".join([*(h if h.startswith("#") else f"# {h}" for h in headers), *(r.line for r in lines)]) + "\n"
 
 
+def options_text(pairs_: DataFrame) -> str:
+    """Pairs that could take one place, each under a header of its own: the fewest primers first."""
+    order, out, last, k = ["n", "f_end", "r_start"], [], None, 0
+    lines = primer_lines(pairs_).join(pairs_.select(*order), ["f_end", "r_start"]).orderBy(*order, "side", "at")
+    for r in lines.toLocalIterator():
+        if (r.f_end, r.r_start) != last:
+            last, k = (r.f_end, r.r_start), k + 1
+            out.append(f"# PrimerPair Option: {k}")
+        out.append(r.line)
+    return "".join(f"{x}\n" for x in out)
+
+
 def amplicons(pairs_: DataFrame, trimmed: bool = False) -> DataFrame:
     """chrom, start, stop, name, pool (from 1) of amplicons, or of what lies between their primers."""
     start, stop = ("f_end", "r_start") if trimmed else ("f_start", "r_end")
@@ -87,3 +117,8 @@ def read_regions(spark: SparkSession, path: str) -> DataFrame:
 def primer_md5(text: str) -> str:
     """The checksum that run configurations hold: the text's characters joined by line feeds."""
     return hashlib.md5("\n".join(text).encode()).hexdigest()
+
+
+def md5(text: str) -> str:
+    """The checksum of a file's text."""
+    return hashlib.md5(text.encode()).hexdigest()

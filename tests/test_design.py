@@ -58,17 +58,26 @@ def test_panel(spark, made):
 def test_other_commands(spark, made, capsys):
     folder, _ = made
     primers, msa, config = str(folder / "out/primer.bed"), str(folder / "x.fa"), str(folder / "out/config.json")
-    cli.run(spark, ["interactions", primers, "--threshold", "0"])
-    assert capsys.readouterr().out.startswith("pool\ta\tb\tscore")
+    cli.run(spark, ["interactions", primers, "--threshold", "-4"])
+    lines = capsys.readouterr().out.splitlines()
+    assert lines[0].startswith("pool\ta\tb\tscore") and len(lines) > 1 and all(float(x.split("\t")[3]) <= -4 for x in lines[1:])
+    cli.run(spark, ["interactions", primers, "--threshold", "-4", "--text"])
+    shown = capsys.readouterr().out
+    assert shown.count("score: ") >= len(lines) - 1 and "3'-" in shown
     cli.run(spark, ["repair-mode", "--bedfile", primers, "--msa", msa, "--config", config, "--output", str(folder / "repair")])
     assert "PRESENT" in Path(folder, "repair/repair.tsv").read_text()
+    assert bed.read_primers(spark, str(folder / "repair/primer.bed")).count() >= bed.read_primers(spark, primers).count()
     name = bed.read_primers(spark, primers).select("prefix").first().prefix
     cli.run(spark, ["replace-primerpair", f"{name}_1_LEFT_1", primers, msa, "--config", config, "--amplicon-size-max", "220", "--amplicon-size-min", "180", "--output", str(folder / "replace")])
-    assert Path(folder, "replace/replacements.tsv").read_text().startswith("msa\t")
+    assert Path(folder, "replace/primer.bed").read_text().startswith("# PrimerPair Option: 1\n") and "OK\t" in capsys.readouterr().out
+    cli.run(spark, ["replace-primerpair", f"{name}_2", primers, msa, "--config", config, "--amplicon-size-max", "220", "--amplicon-size-min", "180", "--output", str(folder / "best"), "--mode", "AddBest"])
+    old, new = (bed.pairs(bed.read_primers(spark, x)).orderBy("number").collect() for x in (primers, str(folder / "best/primer.bed")))
+    assert [r.number for r in new] == [r.number for r in old] and [a for a, b in zip(old, new) if a != b] == [old[1]]
     cli.run(spark, ["visualise-primer-mismatches", msa, primers, "--output", str(folder / "m.csv")])
     first = [r.split("\t") for r in Path(folder, "m.csv").read_text().splitlines()[1:]]
     assert first and all(r[3] == "0" for r in first if r[1] == "0")
     cli.run(spark, ["visualise-bedfile", primers, str(folder / "out/reference.fasta"), "--ref-id", "g0", "--output", str(folder / "b.json")])
     assert json.loads((folder / "b.json").read_text())["primers"]
+    capsys.readouterr()
     cli.run(spark, ["downsample-existing-scheme", primers])
     assert capsys.readouterr().out.startswith("site\tseqs")

@@ -187,7 +187,7 @@ def test_files(spark, tmp_path):
     (tmp_path / "r.bed").write_text("# x\n\nc\t1\t9\tr\t3\t\nc\t2\t9\tr\t3\tg\n")
     assert [r.group for r in bed.read_regions(spark, str(tmp_path / "r.bed")).collect()] == [None, "g"]
     points = spark.createDataFrame([("c", 0, 0.5)], "chrom string, col int, value double")
-    assert json.loads(gzip.decompress(reports.plot_data(gc=points))) == {"c": {"gc": [[0, 0.5]]}}
+    assert json.loads(gzip.decompress(reports.packed(reports.plot_data(gc=points)))) == {"c": {"gc": [[0, 0.5]]}}
 
 
 def test_config():
@@ -224,11 +224,91 @@ def test_solvers(spark):
     panel = solver.solve_panel(df.withColumn("gc_diff", F.lit(0.0)), wanted, most=1).collect()
     assert len(panel) == 1 and panel[0].f_end <= 500 and panel[0].r_start >= 600
     scheme = solver.solve(df)
-    assert maintain.replacements(df, scheme, "m", 2).count() >= 0
+    chosen = {r.number: r for r in got}
+    checked = {(r.f_start, r.r_end): r.status for r in maintain.replacements(df, scheme, [], "m", 2).collect()}
+    others = [(r.f_start, r.r_end) for r in got if r.pool == chosen[2].pool and r.number != 2]
+    assert checked and all((s == "OVERLAP") == any(x < e and f < y for x, y in others) for (f, e), s in checked.items()) and "OK" in checked.values()
     cloud = {"AGCGTGGTTATTGGATGGGTTTG": 90.0, "AGCGTGGTTATTGGATGGGTTTA": 10.0}
     assert solver.downsample(cloud) == ["AGCGTGGTTATTGGATGGGTTTG"]
 
 
+def test_panel_limits(spark):
+    """Caps of alignments and groups, seeds, and the choice by brute force over whole positions."""
+    rng = random.Random(9)
+    pairs = [(m, x, x + 20, x + 120 + rng.randrange(20), x + 160, [], rng.choice([0.0, 0.1])) for m in "ab" for x in range(0, 600, 7)]
+    df = spark.createDataFrame(pairs, "msa string, f_start int, f_end int, r_start int, r_end int, seqs array<string>, gc_diff double")
+    pieces = [("a", 100, 140, 3.0), ("a", 200, 260, 1.0), ("a", 300, 340, 2.0), ("b", 50, 500, 1.0)]
+    wanted = spark.createDataFrame(pieces, "msa string, start int, stop int, score double")
+    got = solver.solve_panel(df, wanted, most=6).collect()
+    left = {(m, c): s for m, a, b, s in pieces for c in range(a, b)}
+    covered = set()
+    for r in got:
+        best = 0
+        taken = [(x.f_start, x.r_end) for x in got[: got.index(r)] if x.msa == r.msa]
+        for m, fs, fe, rs, re_, _, off in pairs:
+            if m == r.msa and sum(any(x < re_ and fs < y for x, y in [t]) for t in taken) < 2:
+                inside = [(m, c) for c in range(fe, rs)]
+                plain = sum(left.get(k, 0) for k in inside if k not in covered) * (1 - off)
+                half = any(k in covered for k in inside) and not all(k in covered for k in inside)
+                fits = any(all(not (x.f_start < re_ and fs < x.r_end) for x in got[: got.index(r)] if x.msa == m and x.pool == p) for p in (0, 1))
+                if fits and int(plain + 1e-6) > 0:
+                    best = max(best, int((10 if half else 1) * plain + 1e-6))
+                if (fs, fe, rs) == (r.f_start, r.f_end, r.r_start):
+                    mine = int((10 if half else 1) * plain + 1e-6)
+        assert mine == best
+        covered |= {(r.msa, c) for c in range(r.f_end, r.r_start)}
+    assert {m: sum(r.msa == m for r in solver.solve_panel(df, wanted, most_msa=1).collect()) for m in "ab"} == {"a": 1, "b": 1}
+    regions = spark.createDataFrame([("a", 100, 140, "g"), ("a", 200, 260, "g"), ("a", 300, 340, "h")], "msa string, start int, stop int, group string")
+    few = solver.solve_panel(df.where("msa = 'a'"), wanted, regions=regions, most_group=0).collect()
+    assert all(not (r.f_start <= 260 and r.r_end >= 100) for r in few[1:]) or len(few) <= 2
+    cloud = [("AC", None)]
+    seeds = spark.createDataFrame([("a", 1, 1, 90, 110, 230, 250, cloud, cloud)], "chrom string, number int, pool int, f_start int, f_end int, r_start int, r_end int, f_cloud array<struct<sequence:string,count:double>>, r_cloud array<struct<sequence:string,count:double>>")
+    first = solver.solve_panel(df, wanted, most=2, seeds=seeds).collect()[0]
+    assert (first.step, first.pool, first.f_start) == ("given", 1, 90)
+
+
+def test_misprimes(spark):
+    """A pair whose primer binds elsewhere within the product size of one in the pool goes to another pool or not at all."""
+    p = lambda x, hits=(): solver.Pair("m", x, x + 20, x + 100, x + 120, (), hits=hits)
+    state = solver.Pools(Config(mismatch_product_size=50))
+    state.add(p(0, (("m", 700, "+", True), ("m", 900, "+", False))), 0, "x")
+    assert state.verdict(p(300, (("m", 740, "-", True),)), 0) == "MISPRIMING" and state.verdict(p(300, (("m", 740, "-", True),)), 1) == "OK"
+    assert [state.verdict(p(300, (("m", c, s, True),)), 0) for c, s in ((750, "-"), (700, "-"), (740, "+"), (920, "-"))] == ["OK"] * 4
+    state.drop_last()
+    assert state.verdict(p(300, (("m", 740, "-", True),)), 0) == "OK"
+    assert solver.Pools(Config()).verdict(p(300, (("m", 740, "-", True),)), 0) == "OK"
+
+
+def test_texts(spark):
+    s = F.lit
+    got = one(spark, t=S.alignment_text(s("ACGT"), s("ACGT"), s(-1), s(-3.456)), m=S.match_text(s("p"), s("ACGT"), s("TTACCT")), g=S.mean_gc_off(F.array(s("GC"), s("AT"))))
+    assert got["t"] == "score: -3.46\n5'-ACGT-3' >\n" + got["t"].split("\n")[2] + "\n 3'-TGCA-5' \n"
+    assert got["m"] == "5'ACGT: p<br>5'||.|<br>5'ACCT" and got["g"] == 0.5
+
+
+def test_region_sets(spark):
+    regions = spark.createDataFrame([("m", 500, 510, "g"), ("m", 2000, 2010, "g"), ("m", 3000, 3010, "h"), ("m", 4000, 4010, None)], "msa string, start int, stop int, group string")
+    sizes = spark.createDataFrame([("m", 2300)], "msa string, size int")
+    near = {(r.direction, r.start, r.stop) for r in I.near_regions(regions.where("start < 2500"), sizes, Config(amplicon_size=400)).collect()}
+    assert near == {("LEFT", 60, 510), ("LEFT", 1560, 2010), ("RIGHT", 500, 949), ("RIGHT", 2000, 2300)}
+    touched = I.same_group(regions, spark.createDataFrame([("m", 510, 520)], "msa string, start int, stop int"))
+    assert {r.start for r in touched.collect()} == {500, 2000}
+    clear = I.clear_of_regions(spark.createDataFrame([("m", 480, 500), ("m", 480, 499)], "msa string, start int, stop int"), regions)
+    assert [r.stop for r in clear.collect()] == [499]
+    names = spark.createDataFrame([("a", 3)], "chrom string, msa_index int")
+    assert {r.chrom: r.msa_index for r in I.msa_index(spark.createDataFrame([("a",), ("b",)], "chrom string"), names).collect()} == {"a": 3, "b": -1}
+    assert [tuple(r) for r in I.tally(spark.createDataFrame([("x",), ("y",), ("y",)], "status string"), "status").collect()] == [("y", 2), ("x", 1)]
+
+
+def test_extra_primers(spark, tmp_path):
+    line = "c\t10\t33\tu_1_LEFT_1\t3\t+\tAGCGTGGTTATTGGATGGGTTTG\nc\t90\t95\tu_1_RIGHT_1\t3\t-\tGGATT\n"
+    (tmp_path / "x.bed").write_text(line)
+    with pytest.raises(errors.InputError):
+        bed.read_extra(spark, str(tmp_path / "x.bed"), Config(), strict_fix=True)
+    pairs, note = bed.read_extra(spark, str(tmp_path / "x.bed"), Config())
+    assert pairs.count() == 1 and "outside range" in note
+
+
 def test_repair(spark):
     found = spark.createDataFrame([("s", 0, "AGCGTGGTTATTGGATGGGTTTG", 5), ("s", 0, "AAAAAAAAAAAAAAAAAAAAAAAA", 5)], "site string, pool int, seq string, count int")
     scheme = spark.createDataFrame([("s", 0, "AGCGTGGTTATTGGATGGGTTTGA")], "site string, pool int, seq string")

@@ -52,8 +52,8 @@ SHORT = 64
 #: Sets up to this size have partners of at most SKETCH values.
 WHOLE = SKETCH * LEAST // 100
 #: Values of members and of queries that one task compares.
-BLOCK = 1 << 18
-QUERIES = 1 << 20
+BLOCK = 1 << 16
+QUERIES = 1 << 18
 FACTS = ["n", "b", "m0", "m1"]
 FACTS2 = ["n2", "b2", "m02", "m12"]
 

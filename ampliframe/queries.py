@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +17,7 @@ from .operators import digest, mismatch
 from .operators import intervals as I
 from .operators import kmers as K
 from .plans import maintain, solver
+from .sources import reports
 
 C = Config()
 AMPLICON = Config(amplicon_size=400)
@@ -417,17 +419,141 @@ def mismatch_matrix(spark, sf_dir):
     return mismatch.matrix(bridge.rows(spark, sf_dir), _primers(spark, sf_dir))
 
 
+@query(f"""WITH {NEXT}, c AS (SELECT id, x, y, (id % 7 - 3)::INTEGER AS o, (id % 1000) / -37.0::DOUBLE AS sc, '5''-' || x || '-3'' >' AS p, '3''-' || reverse(y) || '-5''' AS q FROM next_),
+d AS (SELECT id, o, sc, CASE WHEN o > 0 THEN repeat(' ', o) ELSE '' END || p AS p, CASE WHEN o < 0 THEN repeat(' ', -o) ELSE '' END || q AS q FROM c),
+e AS (SELECT id, sc, rpad(p, greatest(length(p), length(q))::INTEGER, ' ') AS p, rpad(q, greatest(length(p), length(q))::INTEGER, ' ') AS q FROM d),
+g AS (SELECT id, string_agg(CASE WHEN substr(p, i, 1) NOT IN ('A', 'C', 'G', 'T') OR substr(q, i, 1) NOT IN ('A', 'C', 'G', 'T') THEN ' ' WHEN translate(substr(p, i, 1), 'ACGT', 'TGCA') = substr(q, i, 1) THEN '|' ELSE '.' END, '' ORDER BY i) AS m FROM (SELECT id, p, q, unnest(range(1, length(p) + 1)) AS i FROM e) GROUP BY id)
+SELECT id, p || chr(10) || m || chr(10) || q || chr(10) AS text FROM e JOIN g USING (id)""")
+def interaction_text(spark, sf_dir):
+    text = S.alignment_text(F.col("x"), F.col("y"), (F.col("id") % 7 - 3).cast("int"), (F.col("id") % 1000) / -37.0)
+    # the score's line is a golden of the tests: numbers are spelt differently by each engine
+    return _next(spark, sf_dir).select("id", F.regexp_replace(text, r"^score: [^\n]*\n", "").alias("text"))
+
+
+@query(f"""WITH {NEXT}, c AS (SELECT id, x, y, least(length(x), length(y)) AS n FROM next_),
+m AS (SELECT id, string_agg(CASE WHEN substr(x, (length(x) - n + i)::INTEGER, 1) = substr(y, (length(y) - n + i)::INTEGER, 1) THEN '|' ELSE '.' END, '' ORDER BY i) AS m FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM c) GROUP BY id)
+SELECT id, '5''' || x || ': p' || id || '<br>5''' || m || '<br>5''' || substr(y, greatest(length(y) - length(x) + 1, 1)::INTEGER, length(x)::INTEGER) AS text FROM c JOIN m USING (id)""")
+def match_text(spark, sf_dir):
+    return _next(spark, sf_dir).select("id", S.match_text(F.concat(F.lit("p"), F.col("id").cast("string")), F.col("x"), F.col("y")).alias("text"))
+
+
+@query(f"WITH {PARTS} SELECT id % 50 AS cloud, round(avg(abs(0.5::DOUBLE - round_even(100.0::DOUBLE * length(regexp_replace(plain, '[^GC]', '', 'g')) / length(plain), 1) / 100)), 9) AS off FROM parts_ WHERE plain <> '' GROUP BY id % 50")
+def mean_gc_diff(spark, sf_dir):
+    p = _parts(spark, sf_dir).where("plain != ''").groupBy((F.col("id") % 50).alias("cloud")).agg(F.collect_list("plain").alias("seqs"))
+    return p.select("cloud", F.round(S.mean_gc_off(F.col("seqs")), 9).alias("off"))
+
+
+@query(f"WITH {THERMO}, t AS (SELECT id, length(plain) AS n, h, s0 + 0.368::DOUBLE * (length(plain) - 1) * {math.log(thermo.salt(C.with_(dntp_conc=C.dna_conc)))!r} AS s, k FROM tm_) SELECT id, round({TM}, 4) AS tm FROM t")
+def pair_tm(spark, sf_dir):
+    return _parts(spark, sf_dir).where("length(plain) > 1").select("id", F.round(thermo.pair_melting(F.col("plain"), C), 4).alias("tm"))
+
+
+@query(f"""WITH {THERMO}, g AS (SELECT id, plain, {TM} AS tm, round_even(100.0::DOUBLE * length(regexp_replace(plain, '[^GC]', '', 'g')) / length(plain), 1) AS gc, list_max(list_transform(regexp_extract_all(plain, 'A+|C+|G+|T+'), lambda x: length(x))) AS homo FROM tm_)
+SELECT CASE WHEN gc > 55 THEN 'HIGH_GC' WHEN gc < 30 THEN 'LOW_GC' WHEN length(plain) > 36 THEN 'TO_LONG' WHEN tm > 64.5 THEN 'HIGH_TM' WHEN tm < 59.5 THEN 'LOW_TM' WHEN homo > 5 THEN 'MAX_HOMOPOLY' ELSE 'PASS' END AS status, count(*) AS n FROM g GROUP BY 1""")
+def status_tally(spark, sf_dir):
+    return I.tally(thermo_status(spark, sf_dir), "status")
+
+
+@query(f"""WITH {SPANS}, head AS (SELECT msa, stop AS more FROM bare_ WHERE start = 0), j AS (SELECT bare_.msa, start, stop, size, more, stop = size AND more IS NOT NULL AND start > 0 AS wraps FROM bare_ JOIN size_ USING (msa) LEFT JOIN head USING (msa))
+SELECT msa, start, CASE WHEN wraps THEN size + more ELSE stop END AS stop FROM j WHERE start > 0 OR NOT EXISTS (SELECT 1 FROM j x WHERE x.msa = j.msa AND x.wraps)""")
+def uncovered_circular(spark, sf_dir):
+    return I.around_origin(*_spans(spark, sf_dir))
+
+
+@query("""SELECT 's' || (event_id % 4) AS chrom, 'p_' || event_id AS name, event_id * 7 AS s, event_id * 7 + 20 AS cs, event_id * 7 + 300 AS ce, event_id * 7 + 322 AS e, (user_id % 2 + 1)::INTEGER AS p, event_id AS n FROM events""")
+def amplicon_summary(spark, sf_dir):
+    e = _read(spark, sf_dir, "events")
+    at = lambda k: F.col("event_id") * 7 + k
+    scheme = e.select(F.concat(F.lit("s"), (F.col("event_id") % 4).cast("string")).alias("chrom"), F.lit("p").alias("prefix"), F.col("event_id").alias("number"), at(0).alias("f_start"), at(20).alias("f_end"), at(300).alias("r_start"), at(322).alias("r_end"), F.pmod("user_id", F.lit(2)).cast("int").alias("pool"))
+    return reports.amplicon_summary(scheme)
+
+
+@query(f"""WITH {REGIONS}, z AS (SELECT msa, max(stop) + 100 AS size FROM reg_ GROUP BY msa), w AS (SELECT reg_.msa, 'LEFT' AS direction, greatest(start - {AMPLICON.amplicon_size_max}, 0) AS start, least(stop, size) AS stop FROM reg_ JOIN z USING (msa)
+UNION ALL SELECT reg_.msa, 'RIGHT', start, least(stop - 1 + {AMPLICON.amplicon_size_max}, size) FROM reg_ JOIN z USING (msa)),
+r AS (SELECT *, max(stop) OVER (PARTITION BY msa, direction ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM w),
+k AS (SELECT *, sum(CASE WHEN reach IS NULL OR start > reach THEN 1 ELSE 0 END) OVER (PARTITION BY msa, direction ORDER BY start, stop ROWS UNBOUNDED PRECEDING) AS run FROM r)
+SELECT msa, direction, min(start) AS start, max(stop) AS stop FROM k GROUP BY msa, direction, run""")
+def region_windows(spark, sf_dir):
+    r = _regions(spark, sf_dir)
+    return I.near_regions(r, r.groupBy("msa").agg((F.max("stop") + 100).alias("size")), AMPLICON)
+
+
+@query(f"""WITH {REGIONS}, g AS (SELECT msa, start, stop, CASE WHEN start % 3 > 0 THEN 'g' || start % 40 END AS grp FROM reg_),
+e_ AS (SELECT ascii(chr(97 + (event_id % 26)::INTEGER)) AS msa, event_id AS start, event_id + 30 AS stop FROM events),
+t AS (SELECT DISTINCT g.msa, grp FROM g JOIN e_ ON e_.msa = g.msa AND g.start <= e_.stop AND e_.start <= g.stop WHERE grp IS NOT NULL)
+SELECT g.msa, start, stop, g.grp AS "group" FROM g JOIN t ON t.msa = g.msa AND t.grp = g.grp""")
+def region_groups(spark, sf_dir):
+    r = _regions(spark, sf_dir).select("msa", "start", "stop", F.when(F.col("start") % 3 > 0, F.concat(F.lit("g"), (F.col("start") % 40).cast("string"))).alias("group"))
+    e = _read(spark, sf_dir, "events").select(F.ascii(F.char((F.lit(97) + F.col("event_id") % 26))).alias("msa"), F.col("event_id").alias("start"), (F.col("event_id") + 30).alias("stop"))
+    return I.same_group(r, e)
+
+
+@query(f"WITH {REGIONS}, s AS (SELECT ascii(lower(o_orderstatus)) AS msa, o_orderkey AS start, o_orderkey + 4 AS stop FROM orders) SELECT msa, start, stop FROM s WHERE NOT EXISTS (SELECT 1 FROM reg_ WHERE reg_.msa = s.msa AND reg_.start <= s.stop AND s.start <= reg_.stop)")
+def sites_off_regions(spark, sf_dir):
+    s = _read(spark, sf_dir, "orders").select(F.ascii(F.lower("o_orderstatus")).alias("msa"), F.col("o_orderkey").alias("start"), (F.col("o_orderkey") + 4).alias("stop"))
+    return I.clear_of_regions(s, _regions(spark, sf_dir))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_shipmode_ AS chrom, coalesce(i, -1)::INTEGER AS msa_index FROM (SELECT l_orderkey, l_linenumber, l_returnflag || l_linestatus AS l_shipmode_ FROM lineitem) LEFT JOIN (SELECT * FROM (VALUES ('AF', 0), ('NO', 1)) v(c, i)) ON c = l_shipmode_")
+def chrom_index(spark, sf_dir):
+    lines = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.concat("l_returnflag", "l_linestatus").alias("chrom"))
+    return I.msa_index(lines, spark.createDataFrame([("AF", 0), ("NO", 1)], "chrom string, msa_index int"))
+
+
+@query(f"WITH {NEXT}, f AS (SELECT id % 200 AS site, x AS seq FROM next_ WHERE id % 2 = 0), k AS (SELECT id % 200 AS site, y AS seq FROM next_ WHERE id % 3 = 0) SELECT f.site, f.seq, EXISTS (SELECT 1 FROM k WHERE k.site = f.site AND substr(k.seq, 1, least(length(k.seq), length(f.seq))) = substr(f.seq, 1, least(length(k.seq), length(f.seq)))) AS known FROM f")
+def repair_present(spark, sf_dir):
+    n = _next(spark, sf_dir).withColumn("site", F.col("id") % 200)
+    return maintain.present(n.where("id % 2 = 0").select("site", F.col("x").alias("seq")), n.where("id % 3 = 0").select("site", F.col("y").alias("seq")))
+
+
+@query(f"WITH {PARTS} SELECT id, CASE WHEN id % 2 = 0 THEN substr(plain, greatest(length(plain) - 18, 1)::INTEGER, 19) ELSE substr(plain, 1, 19) END AS kmer FROM parts_")
+def probe_clip(spark, sf_dir):
+    p = _parts(spark, sf_dir).select("id", F.col("plain").alias("sequence"), F.when(F.col("id") % 2 == 0, "LEFT").otherwise("RIGHT").alias("direction"))
+    return K.clipped(p).select("id", "kmer")
+
+
+@query(f"WITH RECURSIVE {KMERS}, {PROBES}, h AS (SELECT DISTINCT * FROM ({_HITS.format(p='probe_')})) SELECT item_id, s, kmer, chrom, col, strand FROM h WHERE chrom = 'en' AND col <> s - 1")
+def misprime_hits(spark, sf_dir):
+    found = kmer_find_exact(spark, sf_dir).withColumns({"own_chrom": F.lit("en"), "expected": (F.col("s") - 1).cast("int")})
+    return K.unexpected(found).drop("own_chrom", "expected")
+
+
+@query(f"WITH {MAP}, w AS (SELECT chrom, max(col) + 1 AS width FROM map_ GROUP BY chrom), d AS (SELECT map_.chrom, map_.col, ref_pos, CASE WHEN map_.col % 2 = 0 THEN 'LEFT' ELSE 'RIGHT' END AS direction, width FROM map_ JOIN w USING (chrom) WHERE ref_pos IS NOT NULL), p AS (SELECT chrom AS msa, col, direction, width, CASE WHEN direction = 'LEFT' THEN ref_pos - 21 ELSE ref_pos END AS start, CASE WHEN direction = 'LEFT' THEN ref_pos ELSE ref_pos + 21 END AS stop FROM d) SELECT msa, col, direction, start::INTEGER AS start, stop::INTEGER AS stop FROM p WHERE start >= 0 AND stop < width")
+def remapped_sites(spark, sf_dir):
+    m = mapping_array(spark, sf_dir)
+    found = m.select(F.col("chrom").alias("msa"), "col", F.when(F.col("col") % 2 == 0, "LEFT").otherwise("RIGHT").alias("direction"), F.lit("PASS").alias("status"), F.array(F.repeat(F.lit("A"), F.lit(21)), F.repeat(F.lit("C"), F.lit(19))).alias("seqs"))
+    return digest.remapped(found, m).select("msa", "col", "direction", F.col("start").cast("int"), F.col("stop").cast("int"))
+
+
 # non-relational: models and solvers; tests hold them against goldens and brute force
 
-@query()
+_OFFS = "unnest(range(-(length(a) - 2), length(b) - 1)) AS o"
+_PAIRED = f"CASE WHEN translate(substr(a, i, 1), 'ACGT', 'TGCA') = substr(rb, (i + o)::INTEGER, 1) THEN CASE WHEN substr(a, i, 1) IN ('G', 'C') THEN {thermo.PAIR_GC} ELSE {thermo.PAIR_AT} END ELSE {thermo.MISMATCH} END"
+
+
+@query(f"""WITH {PARTS}, s AS (SELECT DISTINCT id % 64 AS pool, plain AS seq FROM parts_), p AS (SELECT x.pool, x.seq AS a, y.seq AS b, reverse(y.seq) AS rb, row_number() OVER () AS k FROM s x JOIN s y ON x.pool = y.pool AND x.seq <= y.seq),
+o AS (SELECT *, greatest(1, 1 - o) AS lo, least(length(a), length(b) - o) AS hi FROM (SELECT *, {_OFFS} FROM p)),
+v AS (SELECT k, o, lo, hi, i, length(a) AS n, {_PAIRED} AS v FROM (SELECT *, unnest(range(lo, hi + 1)) AS i FROM o)),
+c AS (SELECT k, CASE WHEN hi = n THEN sum(v) OVER (PARTITION BY k, o ORDER BY i DESC) ELSE 0 END AS three, CASE WHEN lo + o = 1 THEN sum(v) OVER (PARTITION BY k, o ORDER BY i) ELSE 0 END AS five FROM v),
+m AS (SELECT k, least(min(three), min(five), 0) AS score FROM c GROUP BY k)
+SELECT pool, a, b, round(score, 3)::DOUBLE AS score FROM p JOIN m USING (k) WHERE score <= {C.dimer_score} + 0.0005""")
 def dimer_pairs(spark, sf_dir):
     p = _parts(spark, sf_dir).select(F.pmod("id", F.lit(64)).alias("pool"), F.col("plain").alias("seq"))
-    return mismatch.interactions(p, C.dimer_score)
+    return mismatch.interactions(p, C.dimer_score + 0.0005).withColumn("score", F.round("score", 3))
+
+
+@query()
+def hairpins(spark, sf_dir):
+    @F.pandas_udf("double")
+    def tm(s: pd.Series) -> pd.Series:
+        return pd.Series(thermo.hairpin_tms(s.tolist(), C))
+
+    return _parts(spark, sf_dir).where("length(plain) > 1").select("id", F.round(tm("plain"), 4).alias("tm"))
 
 
 def _candidates(spark, sf_dir):
     pairs = primer_pairs_range(spark, sf_dir)
-    return pairs.select(F.char("msa").alias("msa"), F.col("f_start").cast("int"), F.col("f_end").cast("int"), F.col("r_start").cast("int"), (F.col("r_start") + F.col("r_size")).cast("int").alias("r_end"), F.array().cast("array<string>").alias("seqs"))
+    return pairs.select(F.char("msa").alias("msa"), F.col("f_start").cast("int"), F.col("f_end").cast("int"), F.col("r_start").cast("int"), (F.col("r_start") + F.col("r_size")).cast("int").alias("r_end"), F.array(bridge.sequence(F.concat(F.lit("primer left of "), F.col("f_start").cast("string"))), F.translate(F.concat(F.lpad(F.col("r_start").cast("string"), 8, "7"), F.lpad(F.col("f_end").cast("string"), 12, "3")), "0123456789", "ACGTTGCACA")).alias("seqs"))
 
 
 @query()
@@ -443,7 +569,7 @@ def greedy_panel(spark, sf_dir):
 
 @query()
 def downsample_clouds(spark, sf_dir):
-    p = _parts(spark, sf_dir).select(F.pmod("id", F.lit(16)).cast("string").alias("site"), F.substring("plain", 1, 24).alias("seq")).groupBy("site", "seq").agg(F.count("*").alias("count"))
+    p = _parts(spark, sf_dir).select(F.pmod("id", F.lit(16)).cast("string").alias("site"), F.explode(F.regexp_extract_all("plain", F.lit(".{24}"), F.lit(0))).alias("seq")).groupBy("site", "seq").agg(F.count("*").alias("count"))
     # part names make poor primers: a protocol with wide limits
     return maintain.downsampled(p, C.with_(primer_tm_min=35.0, primer_tm_max=80.0, primer_gc_min=10, primer_gc_max=90, primer_homopolymer_max=12, downsample_target=0.1, primer_annealing_tempc=50.0))
 

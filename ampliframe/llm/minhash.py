@@ -195,7 +195,14 @@ def likely(classes: DataFrame, pairs: DataFrame) -> DataFrame:
     """Of pairs (a, b), a written table, those whose union's sketch lets them pass."""
     union = F.slice(F.sort_array(F.array_union("sa", "sb")), 1, SKETCH)
     passed = 100 * F.size(F.array_intersect(F.array_intersect("u", "sa"), "sb")) >= ESTIMATE * F.size("u")
-    return _beside(pairs, classes.select("rep", "sketch"), "sketch", ("sa", "sb")).withColumn("u", union).where(passed).select("a", "b").distinct()
+    sent = _bits(classes.sparkSession, pairs.select("a").union(pairs.select("b")))
+
+    def run(rows):  # only sketches that pairs may need are shuffled
+        for batch in rows:
+            yield batch.select(["rep", "sketch"]).filter(pa.array(sent.value[batch.column(2).to_numpy()]))
+
+    some = classes.select("rep", "sketch", F.xxhash64("rep").bitwiseAND(BITS - 1).alias("at")).mapInArrow(run, "rep long, sketch array<long>")
+    return _beside(pairs, some, "sketch", ("sa", "sb")).withColumn("u", union).where(passed).select("a", "b").distinct()
 
 
 def linked(i, x, y):
@@ -270,9 +277,12 @@ def _split(listed: DataFrame, hot: common.Salted | None = None) -> DataFrame:
 
 
 def _pairs(listed: DataFrame, allowed: Column) -> DataFrame:
-    """a, b of lists' members of different roots; lists are short."""
-    other = listed.select("v", *(F.col(c).alias(f"{c}2") for c in listed.columns if c != "v"))
-    found = listed.join(other, "v").where((F.col("root") < F.col("root2")) & allowed)
+    """a, b of lists' members of different roots; lists are short, so that one shuffle brings each together."""
+    own = [c for c in listed.columns if c != "v"]
+    lists = listed.groupBy("v").agg(F.collect_list(F.struct(*own)).alias("l"))
+    met = lambda x: F.transform(F.filter("l", lambda y: x["root"] < y["root"]), lambda y: F.struct(x.alias("x"), y.alias("y")))
+    each = lists.select(F.explode(F.flatten(F.transform("l", met))).alias("p"))
+    found = each.select(*(F.col(f"p.x.{c}").alias(c) for c in own), *(F.col(f"p.y.{c}").alias(f"{c}2") for c in own)).where(allowed)
     return found.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
 
 

@@ -55,7 +55,6 @@ WHOLE = SKETCH * LEAST // 100
 BLOCK = 1 << 16
 QUERIES = 1 << 18
 FACTS = ["n", "b", "m0", "m1"]
-FACTS2 = ["n2", "b2", "m02", "m12"]
 
 
 def prefix_of(n: np.ndarray) -> np.ndarray:
@@ -173,13 +172,13 @@ def _places_allow(n: Column, m: Column, b: Column, c: Column) -> Column:
     return (100 * F.least(n, m) >= LEAST * F.greatest(n, m)) & ((100 + LEAST) * F.least(b, c) >= LEAST * (n + m))
 
 
-def _may_link() -> Column:
-    """Sizes, places and marks (FACTS, FACTS2) allow the link; sets of less than MARKED values have no say by their marks, and
-    those beyond their sketches none by their places."""
-    n, m = F.col("n"), F.col("n2")
+def _may_link(x, y) -> Column:
+    """Sizes, places and marks (facts of two members, by name) allow the link; sets of less than MARKED values have no say by
+    their marks, and those beyond their sketches none by their places."""
+    n, m = x("n"), y("n")
     whole = F.greatest(n, m) <= SKETCH
-    sizes = _places_allow(n, m, F.when(whole, F.col("b")).otherwise(n), F.when(whole, F.col("b2")).otherwise(m))
-    both = F.bit_count(F.col("m0").bitwiseAND(F.col("m02"))) + F.bit_count(F.col("m1").bitwiseAND(F.col("m12")))
+    sizes = _places_allow(n, m, F.when(whole, x("b")).otherwise(n), F.when(whole, y("b")).otherwise(m))
+    both = F.bit_count(x("m0").bitwiseAND(y("m0"))) + F.bit_count(x("m1").bitwiseAND(y("m1")))
     return sizes & ((F.least(n, m) < MARKED) | (both >= COMMON))
 
 
@@ -276,14 +275,16 @@ def _split(listed: DataFrame, hot: common.Salted | None = None) -> DataFrame:
     return (hot or common.Salted(listed, ["v"], ["rep"])).join(some, many=listed)
 
 
-def _pairs(listed: DataFrame, allowed: Column) -> DataFrame:
-    """a, b of lists' members of different roots; lists are short, so that one shuffle brings each together."""
-    own = [c for c in listed.columns if c != "v"]
-    lists = listed.groupBy("v").agg(F.collect_list(F.struct(*own)).alias("l"))
-    met = lambda x: F.transform(F.filter("l", lambda y: x["root"] < y["root"]), lambda y: F.struct(x.alias("x"), y.alias("y")))
-    each = lists.select(F.explode(F.flatten(F.transform("l", met))).alias("p"))
-    found = each.select(*(F.col(f"p.x.{c}").alias(c) for c in own), *(F.col(f"p.y.{c}").alias(f"{c}2") for c in own)).where(allowed)
-    return found.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
+def _pairs(listed: DataFrame, allowed) -> DataFrame:
+    """a, b of lists' members of different roots that allowed lets pass; lists are short, so that one shuffle brings each
+    together, and pairs that don't pass never become rows."""
+    lists = listed.groupBy("v").agg(F.collect_list(F.struct(*(c for c in listed.columns if c != "v"))).alias("l"))
+
+    def met(x: Column) -> Column:
+        others = F.filter("l", lambda y: (x["root"] < y["root"]) & allowed(lambda c: x[c], lambda c: y[c]))
+        return F.transform(others, lambda y: F.struct(F.least(x["rep"], y["rep"]).alias("a"), F.greatest(x["rep"], y["rep"]).alias("b")))
+
+    return lists.select(F.explode(F.flatten(F.transform("l", met))).alias("p")).select("p.a", "p.b").distinct()
 
 
 def prefix_links(spark: SparkSession, members: DataFrame, sets: DataFrame, scratch: common.Scratch) -> DataFrame:
@@ -311,7 +312,7 @@ def prefix_links(spark: SparkSession, members: DataFrame, sets: DataFrame, scrat
 
     listed = scratch.keep(held.select("rep", "root", "set").mapInArrow(run, "v long, rep long, root long, n long, b long"), "listed")
     split = scratch.keep(_split(listed), "split")
-    pairs = scratch.keep(_pairs(split.where(F.col("every") <= SHORT).drop("every", "g"), _places_allow(F.col("n"), F.col("n2"), F.col("b"), F.col("b2"))), "hot-pairs")
+    pairs = scratch.keep(_pairs(split.where(F.col("every") <= SHORT).drop("every", "g"), lambda x, y: _places_allow(x("n"), y("n"), x("b"), y("b"))), "hot-pairs")
     # long lists of one main root are mostly of the same members: one group
     groups = scratch.keep(split.where(F.col("every") > SHORT).select("g", "rep", "root", "n").distinct(), "groups")
     return confirmed(pairs, sets).union(hot_links(groups, sets)).distinct()
@@ -360,7 +361,7 @@ def link(spark: SparkSession, docs: DataFrame, n: int = 5, carry: str | None = N
     picked = active.groupBy("v").agg(*(F.min_by(me, o).alias(f"p{k}") for k, o in enumerate(order)))
     pivots = picked.select("v", F.explode(F.array_distinct(F.array(*(f"p{k}" for k in range(PIVOTS))))).alias("p"))
     pivots = pivots.select("v", F.col("p.rep").alias("rep2"), *(F.col(f"p.{c}").alias(f"{c}2") for c in FACTS))
-    star = hot.join(pivots, many=active).where((F.col("rep") != F.col("rep2")) & _may_link())
+    star = hot.join(pivots, many=active).where((F.col("rep") != F.col("rep2")) & _may_link(F.col, lambda c: F.col(f"{c}2")))
     star = scratch.keep(star.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct(), "met")
     star = scratch.keep(likely(classes, star), "star")
     sets = scratch.keep(full_sets(spark, docs, star.select("a").union(star.select("b")), n), "star-sets")
@@ -371,7 +372,7 @@ def link(spark: SparkSession, docs: DataFrame, n: int = 5, carry: str | None = N
     # 2: of each list's members in different components, those pairs that are left
     placed = active.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     placed = scratch.keep(_split(placed, hot), "placed")
-    rest = scratch.keep(_pairs(placed.where(F.col("every") <= SHORT).drop("every", "g"), _may_link()).join(star, ["a", "b"], "left_anti"), "left")
+    rest = scratch.keep(_pairs(placed.where(F.col("every") <= SHORT).drop("every", "g"), _may_link).join(star, ["a", "b"], "left_anti"), "left")
     rest = scratch.keep(likely(classes, rest), "rest")
     members = scratch.keep(placed.where(F.col("every") > SHORT).select("rep", "root").distinct(), "members")
     sets = scratch.keep(full_sets(spark, docs, rest.select("a").union(rest.select("b")).union(members.select("rep")), n), "rest-sets")

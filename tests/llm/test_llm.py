@@ -404,13 +404,59 @@ def test_language_model(spark, docs, empty):
 def test_language_model_sums_to_one():
     keys = np.sort(common.mix(np.arange(1, 200, dtype=np.uint64)))
     v = lm.Vocabulary(keys, np.arange(1, 200), np.arange(199, dtype=np.int32) * 77, 25_000, 300)
-    share = np.bincount(v.cls, 10**v.log_share, lm.CLASSES)
-    used = np.flatnonzero(share)
-    assert np.allclose(share[used][:-1] if used[-1] == lm.CLASSES - 1 else share[used], 1)
-    assert (v.find(keys) == np.arange(199)).all() and v.find(keys + np.uint64(1)).max() == -1
-    w = np.random.default_rng(1).normal(size=(3 * lm.ROWS, lm.CLASSES)).astype(np.float32)
-    z = lm.log_classes(w, v.bias, lm.features(keys, np.array([0, 100, 199])))
-    assert np.allclose(np.exp(z).sum(1), 1, atol=1e-4)
+    spot = v.cls * lm.LEAVES + v.leaf
+    share = np.bincount(spot, 10**v.log_share, lm.CLASSES * lm.LEAVES)
+    assert np.allclose(share[np.unique(spot)], 1) and lm.REST not in spot and v.mass.sum() == pytest.approx(v.all)
+    assert np.allclose(np.exp(v.class_bias).sum(), 1, atol=1e-4) and np.allclose(np.exp(v.leaf_bias).sum(1), 1, atol=1e-4)
+    place = v.find(np.append(keys, keys[0] + np.uint64(1)))
+    assert (place == [*range(199), -1]).all()
+    cls, leaf = v.spots(place)
+    assert cls[-1] * lm.LEAVES + leaf[-1] == lm.REST and (cls[:-1] == v.cls).all()
+    w = np.random.default_rng(1).normal(size=(3 * v.rows, lm.LEAVES)).astype(np.float32)
+    of_class, of_leaf = lm.features(keys, np.array([0, 100, 199]), cls[:-1], v.rows)
+    for bias, rows in ((v.class_bias, of_class), (v.leaf_bias[cls[:-1]], of_leaf)):
+        assert np.allclose(np.exp(lm.log_softmax(w, bias, rows)).sum(1), 1, atol=1e-4)
+
+
+def test_language_model_tables_grow():
+    key = np.array([5], np.uint64)
+    rows = [lm.Vocabulary(key, np.array([9]), np.array([7], np.int32), total, 1).rows for total in (0, 1 << 18, 1 << 20, 1 << 30)]
+    assert rows == [lm.LEAST, 2048, 8192, lm.MOST]
+
+
+def test_language_model_steps():
+    """One step against gradients of the log-loss by differences."""
+    rng = np.random.default_rng(3)
+    rows, target = rng.integers(0, 4, (3, 20)) + np.array([[0], [4], [8]]), rng.integers(0, 5, 20)
+    bias, w = rng.normal(size=5), rng.normal(size=(12, 5))
+    x = lm.Weights(w, np.full(12, 1e-2))
+    x.step(bias, rows, target)
+
+    def loss(w):
+        z = w[rows].sum(0) + bias
+        return (np.log(np.exp(z).sum(1)) - z[np.arange(20), target]).sum()
+
+    g = np.zeros_like(w)
+    for i in np.ndindex(*w.shape):
+        up, down = w.copy(), w.copy()
+        up[i] += 1e-5
+        down[i] -= 1e-5
+        g[i] = (loss(up) - loss(down)) / 2e-5
+    squares = 1e-2 + (g * g).sum(1)
+    assert np.allclose(x.squares, squares, rtol=1e-3)
+    assert np.allclose(x.w, w - lm.RATE * g / np.sqrt(squares)[:, None], atol=1e-3)
+    assert (x.seen == np.bincount(rows.ravel(), minlength=12)).all()
+
+
+def test_language_model_learns_history(spark):
+    """Words that are equally frequent but follow one another in a fixed order: history tells them apart, counts can't."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(400):
+        at = rng.randrange(12)
+        rows.append((i, " ".join(f"word{'abcdefghijkl'[(at + k) % 12]}" for k in range(60))))
+    got = lm.score(spark, spark.createDataFrame(rows, "doc_id long, text string")).where("held_out").collect()
+    assert len(got) > 40 and all(r.score > r.base_score + 0.5 * r.n_tokens for r in got)
 
 
 def test_segments():

@@ -103,7 +103,8 @@ def _bits(spark: SparkSession, ids: DataFrame):
     """A bit table of BITS bits of the ids of one column, made by Spark: at most BITS / 64 rows come to the driver."""
     at = F.xxhash64(F.col(ids.columns[0])).bitwiseAND(BITS - 1)
     one = F.expr("shiftleft(1L, cast(_at & 63 as int))")
-    words = ids.select(at.alias("_at")).groupBy(F.shiftright("_at", 6).alias("word")).agg(F.bit_or(one).alias("bits")).collect()
+    with common.shuffles_dropped(spark):
+        words = ids.select(at.alias("_at")).groupBy(F.shiftright("_at", 6).alias("word")).agg(F.bit_or(one).alias("bits")).collect()
     table = np.zeros(BITS // 64, np.int64)
     for r in words:
         table[r.word] = r.bits
@@ -129,7 +130,9 @@ def full_sets(spark: SparkSession, docs: DataFrame, ids: DataFrame, n: int) -> D
 def _counts(spark: SparkSession, found: DataFrame):
     """Sums of n by bucket (bucket, n), as a table of fixed size for all tasks."""
     counts = np.zeros(BUCKETS, np.int64)
-    for b, c in found.groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # BUCKETS rows at most
+    with common.shuffles_dropped(spark):
+        sums = found.groupBy("bucket").agg(F.sum("n").alias("n")).collect()  # BUCKETS rows at most
+    for b, c in sums:
         counts[b] = c
     return spark.sparkContext.broadcast(counts)
 
@@ -348,6 +351,8 @@ def link(spark: SparkSession, docs: DataFrame, n: int = 5, carry: str | None = N
     known = rows.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     key = [F.col("one"), F.col("two"), F.col("n_shingles").alias("n")]
     classes = scratch.keep(known.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"), F.count("*").alias("_rows")), "classes")
+    rows = scratch.keep(rows.drop("sketch"), "rows")  # classes have the sketches
+    scratch.drop("sketches")
     listed = scratch.keep(postings(spark, classes), "postings")
     shared = listed.groupBy("v").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count("*").alias("_rows")).where("lo < hi")
     shared = scratch.keep(shared.select("v", "_rows"), "shared")
@@ -382,7 +387,6 @@ def link(spark: SparkSession, docs: DataFrame, n: int = 5, carry: str | None = N
 
     scratch.drop("first-both", "last-both")
     rooted = classes.select("one", "two", F.col("n").alias("n_shingles"), "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("one", "two", "n_shingles", F.coalesce("root", "rep").alias("root"))
-    rows = rows.drop("sketch")
     out = common.Salted(rows, ["one", "two", "n_shingles"], ["doc_id"], classes.select("one", "two", F.col("n").alias("n_shingles"), "_rows")).join(rooted, "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"), *([carry] if carry else []))

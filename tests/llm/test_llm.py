@@ -1,6 +1,7 @@
 """Small cases and brute force for the training-data operators."""
 
 import math
+import os
 import random
 import re
 import zlib
@@ -321,6 +322,21 @@ def test_near_duplicates_as_a_stage(spark, monkeypatch):
     assert got == Counter([(4, text(1)), (5, text(2)), (5, text(3)), (9, text(4)), (None, ""), (None, None), (10, ""), (11, text(5))])
 
 
+def test_kept_tables_leave_no_shuffle_files(spark, docs):
+    """What a step shuffled is deleted at its end, and the sketches once the classes have them."""
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {f for f in disk.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in f}
+    scratch = common.Scratch(spark, "test")
+    docs.count()
+    before = shuffled()
+    scratch.keep(docs.groupBy("source").count(), "counted")
+    scratch.keep(docs.join(docs.groupBy("doc_id").count(), "doc_id"), "joined")
+    assert not shuffled() - before
+    minhash.link(spark, docs, 2, scratch=scratch)
+    left = set(os.listdir(scratch.root.removeprefix("file:")))
+    assert "classes" in left and "sketches" not in left
+
+
 def test_near_duplicates_of_nothing(spark, empty):
     assert minhash.link(spark, empty, 2).count() == 0
 

@@ -95,7 +95,7 @@ def with_hits(paired: DataFrame, found: DataFrame, rows: DataFrame, c: Config) -
     # k-mers count columns of the alignment and primers positions of the reference, as the protocol has it
     own = found.select("msa", "direction", "start", "stop", F.explode("seqs").alias("sequence"))
     probes = K.clipped(own, k)
-    hits = K.matches(probes.select("msa", "direction", "start", "stop", "kmer"), K.index(by_chrom(rows), k), fuzzy=c.mismatch_fuzzy)
+    hits = K.found(probes.select("msa", "direction", "start", "stop", "kmer"), by_chrom(rows), k, fuzzy=c.mismatch_fuzzy)
     expected = F.when(F.col("direction") == "LEFT", F.col("stop") - k).otherwise(F.col("start"))
     marked = hits.withColumns({"own_chrom": F.col("msa"), "expected": expected})
     elsewhere = K.unexpected_mark()

@@ -179,4 +179,5 @@ def op7_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    common.small_batches(spark)
     return clean(spark, docs, common.table(spark, sf_dir, "benchmark"))

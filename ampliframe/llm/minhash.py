@@ -84,7 +84,7 @@ def sketches(docs: DataFrame, n: int, carry: str | None = None) -> DataFrame:
 
     def run(rows):
         for batch in rows:
-            for lo, hi, buf, at in common.batches(batch.column(1)):
+            for lo, hi, buf, at in common.batches(batch.column(1), common.SEGMENT // 4):
                 sets = sets_of(buf, at, n)
                 u = [s.view(np.uint64) for s in sets]
                 one = np.array([x.sum(dtype=np.uint64) for x in u], np.uint64)
@@ -118,7 +118,7 @@ def full_sets(spark: SparkSession, docs: DataFrame, ids: DataFrame, n: int) -> D
     def run(rows):
         for batch in rows:
             batch = batch.filter(pa.array(sent.value[batch.column(2).to_numpy()]))
-            for lo, hi, buf, at in common.batches(batch.column(1)):
+            for lo, hi, buf, at in common.batches(batch.column(1), common.SEGMENT // 4):
                 sets = sets_of(buf, at, n)
                 offsets = np.cumsum([0, *map(len, sets)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets)))], ["doc_id", "set"])
@@ -346,6 +346,7 @@ def components(edges: DataFrame, scratch: common.Scratch, name: str) -> DataFram
 
 def link(spark: SparkSession, docs: DataFrame, n: int = 5, carry: str | None = None, scratch: common.Scratch | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each document, and the long column carry."""
+    common.small_batches(spark)
     scratch = scratch or common.Scratch(spark, "near")
     rows = scratch.keep(sketches(docs, n, carry), "sketches")
     known = rows.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
@@ -419,6 +420,7 @@ def keep_one(spark: SparkSession, docs: DataFrame, n: int = 5) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    common.small_batches(spark)
     return keep_one(spark, docs)
 
 

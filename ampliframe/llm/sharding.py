@@ -107,4 +107,5 @@ def op4_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    common.small_batches(spark)
     return shard(spark, docs)

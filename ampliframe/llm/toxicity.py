@@ -211,5 +211,6 @@ def op9_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is under LIMIT."""
+    common.small_batches(spark)
     model = fit(spark, docs, common.table(spark, sf_dir, "labels"))
     return common.appended(docs, "keep boolean", lambda buf, at: [model.scores(buf, at)[0] < LIMIT], only=True, lower=True)

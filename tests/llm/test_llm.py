@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -337,6 +338,20 @@ def test_kept_tables_leave_no_shuffle_files(spark, docs):
     assert "classes" in left and "sketches" not in left
 
 
+def test_small_batches(spark):
+    """Whole texts go to Python in batches of bounded bytes, unless the session has its own bound."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(name)
+    common.small_batches(spark)
+    big = spark.range(4000, numPartitions=1).select(F.repeat(F.lit("x"), 2000).alias("text"))
+    sizes = lambda rows: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in rows)
+    assert max(r.n for r in big.mapInArrow(sizes, "n long").collect()) < 2 * common.BATCH
+    spark.conf.set(name, "12345678")
+    common.small_batches(spark)
+    assert spark.conf.get(name) == "12345678"
+    spark.conf.unset(name)
+
+
 def test_near_duplicates_of_nothing(spark, empty):
     assert minhash.link(spark, empty, 2).count() == 0
 

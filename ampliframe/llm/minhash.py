@@ -10,9 +10,11 @@ confirm it. A class's mark has a bit of 128 for each of its MARKED smallest valu
 
 No list is expanded into its pairs. First each list pairs its members with PIVOTS members alone, which links the copies of
 a hot group to each other through a few. Then only pairs of a list whose members are still in different components are
-tried: those of lists of up to SHORT members directly; the members of longer ones by an exact prefix filter of their full
-sets, in which a passage that all of them share is common and thus lists nothing. Lists of that which are long again are
-compared in blocks of bounded bytes, by counting shared values.
+tried: those of lists of up to LONG members directly, by numpy beyond SHORT; the members of longer ones, and of those of which
+more than MANY pairs a member may be linked, by an exact prefix filter of their full sets, in which a passage that all of
+them share is common and thus lists nothing. Lists of that which are long again are compared in blocks of bounded bytes, by
+counting shared values. Full sets are several times the text, and the share of documents in a list of a given length grows
+with the corpus, so LONG is far above what all but the commonest values reach.
 
 For larger sets, the values that only one of two has are the rarest, so they come first in its prefix. At worst one set lies
 in the other and has LEAST per cent of its size: then a fifth of the larger set's SKETCH values lack a partner, and prefixes
@@ -49,6 +51,10 @@ ESTIMATE = 50
 BUCKETS = 1 << 18
 BITS = 1 << 23
 SHORT = 64
+LONG = 4096
+MANY = 16
+#: Pairs that carry their sketches through one shuffle.
+SLICE = 1 << 22
 #: Sets up to this size have partners of at most SKETCH values.
 WHOLE = SKETCH * LEAST // 100
 #: Values of members and of queries that one task compares.
@@ -193,8 +199,19 @@ def _beside(pairs: DataFrame, values: DataFrame, name: str, to: tuple[str, str])
     return common.Salted(pairs, ["b"], ["a"]).join(sides[1], many=half)
 
 
-def likely(classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Of pairs (a, b), a written table, those whose union's sketch lets them pass."""
+def likely(classes: DataFrame, pairs: DataFrame, scratch: common.Scratch, name: str) -> DataFrame:
+    """Of pairs (a, b), a written table, those whose union's sketch lets them pass, as a written table; SLICE pairs or so at a
+    time, as each carries a sketch."""
+    slices = max(-(-pairs.count() // SLICE), 1)
+    done = None
+    for k in range(slices):
+        own = pairs if slices == 1 else pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(slices)) == k)
+        part = scratch.keep(_likely(classes, own), f"{name}-{k}")
+        done = part if done is None else done.union(part)
+    return done
+
+
+def _likely(classes: DataFrame, pairs: DataFrame) -> DataFrame:
     union = F.slice(F.sort_array(F.array_union("sa", "sb")), 1, SKETCH)
     passed = 100 * F.size(F.array_intersect(F.array_intersect("u", "sa"), "sb")) >= ESTIMATE * F.size("u")
     sent = _bits(classes.sparkSession, pairs.select("a").union(pairs.select("b")))
@@ -290,6 +307,31 @@ def _pairs(listed: DataFrame, allowed) -> DataFrame:
     return lists.select(F.explode(F.flatten(F.transform("l", met))).alias("p")).select("p.a", "p.b").distinct()
 
 
+def list_pairs(table: pa.Table) -> pa.Table:
+    """a, b, hot: as _pairs with _may_link, for one list (rep, root, n, b, m0, m1). Of a list with more than MANY such pairs a
+    member, rep and root of its members in place of pairs, as hot."""
+    order = np.argsort(table.column("n").to_numpy(), kind="stable")
+    rep, root, n, b = (table.column(c).to_numpy()[order] for c in ("rep", "root", "n", "b"))
+    m0, m1 = (table.column(c).to_numpy().view(np.uint64)[order] for c in ("m0", "m1"))
+    ends = np.searchsorted(n, 100 * n // LEAST, "right")
+    found, total = [], 0
+    for lo in range(0, len(rep), SHORT):
+        x, y = slice(lo, min(lo + SHORT, len(rep))), slice(lo, int(ends[min(lo + SHORT, len(rep)) - 1]))
+        i, j = np.arange(x.start, x.stop)[:, None], np.arange(y.start, y.stop)[None, :]
+        may = (i < j) & (root[x, None] != root[None, y]) & (100 * n[x, None] >= LEAST * n[None, y])
+        i, j = np.nonzero(may)
+        i, j = i + lo, j + lo
+        whole = n[j] <= SKETCH
+        may = (100 + LEAST) * np.minimum(np.where(whole, b[i], n[i]), np.where(whole, b[j], n[j])) >= LEAST * (n[i] + n[j])
+        may &= (n[i] < MARKED) | (np.bitwise_count(m0[i] & m0[j]).astype(np.int64) + np.bitwise_count(m1[i] & m1[j]) >= COMMON)
+        found.append((rep[i[may]], rep[j[may]]))
+        total += int(may.sum())
+        if total > MANY * len(rep):
+            return pa.table({"a": rep, "b": root, "hot": np.ones(len(rep), bool)})
+    one, two = (np.concatenate(c) for c in zip(*found))
+    return pa.table({"a": np.minimum(one, two), "b": np.maximum(one, two), "hot": np.zeros(len(one), bool)})
+
+
 def prefix_links(spark: SparkSession, members: DataFrame, sets: DataFrame, scratch: common.Scratch) -> DataFrame:
     """Links (a, b) between members (rep, root) of different roots, by an exact prefix filter of their full sets."""
     held = scratch.keep(members.join(sets.withColumnRenamed("doc_id", "rep"), "rep"), "held")
@@ -369,7 +411,7 @@ def link(spark: SparkSession, docs: DataFrame, n: int = 5, carry: str | None = N
     pivots = pivots.select("v", F.col("p.rep").alias("rep2"), *(F.col(f"p.{c}").alias(f"{c}2") for c in FACTS))
     star = hot.join(pivots, many=active).where((F.col("rep") != F.col("rep2")) & _may_link(F.col, lambda c: F.col(f"{c}2")))
     star = scratch.keep(star.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct(), "met")
-    star = scratch.keep(likely(classes, star), "star")
+    star = likely(classes, star, scratch, "star")
     sets = scratch.keep(full_sets(spark, docs, star.select("a").union(star.select("b")), n), "star-sets")
     links = scratch.keep(confirmed(star, sets), "star-links")
     scratch.drop("star-sets")
@@ -378,12 +420,16 @@ def link(spark: SparkSession, docs: DataFrame, n: int = 5, carry: str | None = N
     # 2: of each list's members in different components, those pairs that are left
     placed = active.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     placed = scratch.keep(_split(placed, hot), "placed")
-    rest = scratch.keep(_pairs(placed.where(F.col("every") <= SHORT).drop("every", "g"), _may_link).join(star, ["a", "b"], "left_anti"), "left")
-    rest = scratch.keep(likely(classes, rest), "rest")
-    members = scratch.keep(placed.where(F.col("every") > SHORT).select("rep", "root").distinct(), "members")
+    longer = placed.where((F.col("every") > SHORT) & (F.col("every") <= LONG)).select("v", "rep", "root", *FACTS)
+    longer = scratch.keep(longer.groupBy("v").applyInArrow(list_pairs, "a long, b long, hot boolean"), "longer")
+    rest = _pairs(placed.where(F.col("every") <= SHORT).drop("every", "g"), _may_link).union(longer.where("NOT hot").drop("hot"))
+    rest = scratch.keep(rest.distinct().join(star, ["a", "b"], "left_anti"), "left")
+    rest = likely(classes, rest, scratch, "rest")
+    members = placed.where(F.col("every") > LONG).select("rep", "root").union(longer.where("hot").select(F.col("a").alias("rep"), F.col("b").alias("root")))
+    members = scratch.keep(members.distinct(), "members")
     sets = scratch.keep(full_sets(spark, docs, rest.select("a").union(rest.select("b")).union(members.select("rep")), n), "rest-sets")
     more = scratch.keep(confirmed(rest, sets).union(prefix_links(spark, members, sets, scratch)), "more")
-    scratch.drop("rest-sets", "held", "listed", "split", "hot-pairs", "groups", "active", "placed", "met", "left", "members")
+    scratch.drop("rest-sets", "held", "listed", "split", "hot-pairs", "groups", "active", "placed", "met", "left", "longer", "members")
     roots = components(links.union(more), scratch, "last")
 
     scratch.drop("first-both", "last-both")

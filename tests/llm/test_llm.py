@@ -275,6 +275,42 @@ def test_near_duplicates_at_the_threshold(spark):
     assert got == {i: i - i % 2 for i in range(240)}
 
 
+def test_lists_beyond_short_ask_for_no_full_sets(spark, monkeypatch):
+    """Texts of few words fill long lists; still only likely pairs need full sets. And lists too long, or of too many pairs."""
+    rng, rows = random.Random(8), []
+    for i in range(0, 300, 2):
+        w = [rng.choice("abcdefghijklmnopqrst") for _ in range(45)]
+        rows += [(i, " ".join(w)), (i + 1, " ".join(w[:-2] if i % 3 else [rng.choice("abcdefghijklmnopqrst") for _ in range(45)]))]
+    df, want, seen = spark.createDataFrame(rows, "doc_id long, text string"), brute_near(rows, 2), []
+    monkeypatch.setattr(minhash, "prefix_links", lambda spark, members, *a, f=minhash.prefix_links: seen.append(members.count()) or f(spark, members, *a))
+    monkeypatch.setattr(minhash, "SHORT", 16)
+    for _ in range(2):
+        assert {r.doc_id: r.component_id for r in minhash.link(spark, df, 2).collect()} == want
+        for name, value in (("LONG", 24), ("SLICE", 1000)):
+            monkeypatch.setattr(minhash, name, value)
+    assert seen[0] == 0 < seen[1] and len(set(want.values())) < 260
+
+
+def test_list_pairs():
+    """The same pairs as by the rule on each, or the members where these are many."""
+    rng = np.random.default_rng(4)
+    n, root = rng.integers(20, 120, 150), rng.integers(0, 40, 150)
+    b, m = n - rng.integers(0, 20, 150), rng.integers(0, 2**62, (2, 150)) & rng.integers(0, 2**62, (2, 150))
+    t = pa.table({"v": np.zeros(150, np.int64), "rep": np.arange(150) * 3, "root": root, "n": n, "b": b, "m0": m[0], "m1": m[1]})
+
+    def may(i, j):
+        whole = max(n[i], n[j]) <= minhash.SKETCH
+        least = min(b[i], b[j]) if whole else min(n[i], n[j])
+        both = sum(bin(int(x[i] & x[j])).count("1") for x in m)
+        return root[i] != root[j] and 100 * min(n[i], n[j]) >= 80 * max(n[i], n[j]) and 180 * least >= 80 * (n[i] + n[j]) and (min(n[i], n[j]) < minhash.MARKED or both >= minhash.COMMON)
+
+    want = {(3 * i, 3 * j) for i in range(150) for j in range(i + 1, 150) if may(i, j)}
+    got = minhash.list_pairs(t).to_pylist()
+    assert 20 < len(want) == len(got) and {(x["a"], x["b"]) for x in got if not x["hot"]} == want
+    many = pa.concat_tables([t.slice(0, 1)] * 99).set_column(1, "rep", pa.array(range(99))).set_column(2, "root", pa.array(range(99)))
+    assert [(x["a"], x["b"], x["hot"]) for x in minhash.list_pairs(many).to_pylist()] == [(k, k, True) for k in range(99)]
+
+
 def test_short_texts_that_share_a_pair(spark, monkeypatch):
     """A word pair that all short texts have makes no list of them; and pairs just under and over the threshold."""
     rng, rows = random.Random(6), []

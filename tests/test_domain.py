@@ -295,6 +295,18 @@ def test_panel_limits(spark):
     assert (first.step, first.pool, first.f_start) == ("given", 1, 90)
 
 
+def test_panel_leaves_out_pairs_without_score(spark):
+    """The task that chooses gets no pair that nothing wanted lies near, and each whose insert has a wanted column."""
+    pairs = [("m", x, x + 20, x + 120, x + 140, ["AC"]) for x in range(-60, 60000, 7)]
+    df = spark.createDataFrame(pairs, "msa string, f_start int, f_end int, r_start int, r_end int, seqs array<string>")
+    pieces = [("m", 3, 4, 1.0), ("m", 1535, 1537, 2.0), ("m", 9000, 9100, 0.0), ("m", 30000, 30700, 1.0), ("x", 5000, 5100, 1.0)]
+    wanted = spark.createDataFrame(pieces, "msa string, start int, stop int, score double")
+    left = {r.f_start for r in solver.wanted_pairs(df, wanted).collect()}
+    need = {p[1] for p in pairs if any(m == "m" and s > 0 and max(a, p[2]) < min(b, p[3]) for m, a, b, s in pieces)}
+    assert need <= left and len(left) < 500
+    assert [r.f_start for r in solver.solve_panel(df.where("f_start > 40000"), wanted).collect()] == []
+
+
 def test_misprimes(spark):
     """A pair whose primer binds elsewhere within the product size of one in the pool goes to another pool or not at all."""
     p = lambda x, hits=(): solver.Pair("m", x, x + 20, x + 100, x + 120, (), hits=hits)

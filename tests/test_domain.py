@@ -5,6 +5,8 @@ import itertools
 import json
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -295,6 +297,20 @@ def test_panel_limits(spark):
     assert (first.step, first.pool, first.f_start) == ("given", 1, 90)
 
 
+def test_sites_of_a_large_bucket(monkeypatch):
+    """Counted in parts, none of which sorts many more than SITES sites."""
+    rng = np.random.default_rng(3)
+    rows, most = ["".join(rng.choice(list("ACGT"), 3000)) for _ in range(8)], []
+    rows += rows[:2]
+    walks = [x for t in rows for x in kmers.walked([t], 19)]
+    data = pa.chunked_array([[kmers._packed(key, col, 19) for _, col, key in walks]], pa.binary())
+    want = {(int(a), int(b)) for _, col, key in walks for a, b in zip(key, col)}
+    monkeypatch.setattr(kmers, "SITES", 4000)
+    monkeypatch.setattr(kmers.np, "concatenate", lambda x, *a, f=np.concatenate, **b: most.append(len(f(x, *a, **b))) or f(x, *a, **b))
+    assert kmers.distinct_sites(data, 19) == (len(want), len({a for a, _ in want}))
+    assert max(most) < 5000 < sum(len(key) for _, _, key in walks)
+
+
 def test_panel_leaves_out_pairs_without_score(spark):
     """The task that chooses gets no pair that nothing wanted lies near, and each whose insert has a wanted column."""
     pairs = [("m", x, x + 20, x + 120, x + 140, ["AC"]) for x in range(-60, 60000, 7)]
